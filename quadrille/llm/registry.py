@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import secrets, simhash, tokens
 
 
 def queries():
-    return {"op1_simhash": simhash.op1_simhash}
+    return {
+        "op1_simhash": simhash.op1_simhash,
+        "op2_tokens": tokens.op2_tokens,
+        "op7_secrets": secrets.op7_secrets,
+    }
 
 
 def oracle_sql():
