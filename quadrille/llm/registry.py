@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import secrets, simhash, tokens
+from . import pii, secrets, simhash, tokens
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_simhash": simhash.op1_simhash,
         "op2_tokens": tokens.op2_tokens,
         "op7_secrets": secrets.op7_secrets,
+        "op8_pii": pii.op8_pii,
     }
 
 
