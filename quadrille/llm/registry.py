@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import pii, secrets, simhash, tokens
+from . import langid, mixing, packing, pii, secrets, simhash, tokens
 
 
 def queries():
     return {
         "op1_simhash": simhash.op1_simhash,
         "op2_tokens": tokens.op2_tokens,
+        "op5_packing": packing.op5_packing,
         "op7_secrets": secrets.op7_secrets,
         "op8_pii": pii.op8_pii,
+        "op9_mixing": mixing.op9_mixing,
+        "op10_language": langid.op10_language,
     }
 
 
