@@ -2,9 +2,9 @@
 
 Documents are read once, in chunks of bounded size.  A chunk keeps its distinct
 pre-tokens in one list and each document's pre-token frequencies as positions
-into that list.  All chunk lists meet in one shuffle by pre-token, where every
-distinct pre-token is given to the tokenizer exactly once; the resulting piece
-counts return to their chunk and are summed against the frequencies.  No token
+into that list.  All chunk lists meet in one shuffle by pre-token hash bucket,
+where every distinct pre-token is given to the tokenizer exactly once; the
+resulting piece counts return to their chunk and are summed against the frequencies.  No token
 id sequence of a document is ever built.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows
@@ -15,6 +15,7 @@ ignored; a text of any length is one document.
 from __future__ import annotations
 
 import json
+import marshal
 import os
 import re
 import zlib
@@ -39,8 +40,9 @@ _PLAIN = re.compile("[^\x00-ɏ]")
 #: Bytes of text in a chunk (a longer single text is a chunk of its own).
 CHUNK = 8 << 20
 
-_SCHEMA = pa.schema([("chunk", pa.int64()), ("id", pa.int64()), ("n_bytes", pa.int64()), ("special", pa.int64()), ("freq", pa.binary()), ("pieces", pa.list_(pa.string()))])
-_SQL = "chunk long, id long, n_bytes long, special long, freq binary, pieces array<string>"
+#: Rows of documents (freq) and of a chunk's pre-tokens in one hash bucket (pieces, positions from ``first``).
+_SCHEMA = pa.schema([("chunk", pa.int64()), ("id", pa.int64()), ("n_bytes", pa.int64()), ("special", pa.int64()), ("freq", pa.binary()), ("bucket", pa.int32()), ("first", pa.int32()), ("pieces", pa.binary())])
+_SQL = "chunk long, id long, n_bytes long, special long, freq binary, bucket int, first int, pieces binary"
 
 
 @lru_cache(maxsize=4)
@@ -73,7 +75,7 @@ def split(text: str, splitter) -> list[str]:
     return [text[a:b] for _, (a, b) in splitter.pre_tokenize_str(text)]
 
 
-def _counted(batches, path: str, chunk_bytes: int):
+def _counted(batches, path: str, chunk_bytes: int, buckets: int):
     _, splitter, special = _library(path)
     part = TaskContext.get().partitionId()
     for seq, b in enumerate(common.slices(batches, 1, chunk_bytes)):
@@ -84,45 +86,52 @@ def _counted(batches, path: str, chunk_bytes: int):
             count = Counter(split(parts[0], splitter))
             for p in parts[1:]:
                 count.update(split(p, splitter))
-            pos = np.fromiter((local.setdefault(p, len(local)) for p in count), np.int64, len(count))
-            times = np.fromiter(count.values(), np.int64, len(count))
-            order = np.argsort(pos)
-            freq = np.concatenate((np.diff(pos[order], prepend=0), times[order])).astype("<u4")
-            rows.append((i, len(text.encode("utf-8", "surrogatepass")), len(parts) - 1, zlib.compress(freq.tobytes(), 1)))
-        n = len(rows)
-        cols = list(zip(*rows))
-        yield pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), pa.nulls(n, pa.list_(pa.string()))], schema=_SCHEMA)
+            pos = np.fromiter((local.setdefault(p, len(local)) for p in count), np.int32, len(count))
+            times = np.fromiter(count.values(), np.int64, len(count)).astype("<u4")
+            rows.append((i, len(text.encode("utf-8", "surrogatepass")), len(parts) - 1, pos, times))
+        # positions follow the buckets, so a bucket's pieces are one run
         words = list(local)
-        for a in range(0, len(words), 50_000):  # position of a piece: special + its place in the list
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([a], pa.int64()), pa.nulls(1, pa.binary()), pa.array([words[a : a + 50_000]], pa.list_(pa.string()))], schema=_SCHEMA)
+        home = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets for w in words), np.int32, len(words))
+        order = sorted(range(len(words)), key=lambda k: (home[k], words[k]))
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        blobs = []
+        for *_, pos, times in rows:
+            at = place[pos]
+            by = np.argsort(at)
+            blobs.append(zlib.compress(np.diff(at[by], prepend=0).astype("<u4").tobytes() + times[by].tobytes(), 1))
+        n = len(rows)
+        ids, sizes, extra = ([r[k] for r in rows] for k in range(3))
+        none = pa.nulls(n, pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(extra, pa.int64()), pa.array(blobs, pa.binary()), none, none, pa.nulls(n, pa.binary())], schema=_SCHEMA)
+        runs = np.flatnonzero(np.diff(home[order], prepend=-1)).tolist() if words else []
+        packed = [zlib.compress(marshal.dumps([words[k] for k in order[a:z]]), 1) for a, z in zip(runs, [*runs[1:], len(words)])]
+        n = len(runs)
+        none = pa.nulls(n, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), none, none, none, pa.nulls(n, pa.binary()), pa.array([int(home[order[a]]) for a in runs], pa.int32()), pa.array(runs, pa.int32()), pa.array(packed, pa.binary())], schema=_SCHEMA)
 
 
 def _piece_counts(batches, path: str):
-    """Rows sorted by piece: each distinct piece is encoded once."""
+    """Whole hash buckets: each distinct piece is encoded once."""
     single, _, _ = _library(path)
-    last, last_n = None, 0
+    known: dict[str, int] = {}
     for b in batches:
-        if not b.num_rows:
-            continue
-        col = b.column(2).dictionary_encode()
-        words = col.dictionary.to_pylist()
-        todo = [w for w in words if w != last]
-        got = dict(zip(todo, (len(e.ids) for e in single.encode_batch(todo, add_special_tokens=False)))) if todo else {}
-        if last is not None:
-            got.setdefault(last, last_n)
-        n = np.array([got[w] for w in words], np.int64)[np.asarray(col.indices)]
-        last = b.column(2)[b.num_rows - 1].as_py()
-        last_n = got[last]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n.astype(np.int32))], names=["chunk", "pos", "n"])
+        out = []
+        for blob in b.column(2).to_pylist():
+            words = marshal.loads(zlib.decompress(blob))
+            new = [w for w in words if w not in known]
+            if new:
+                known.update(zip(new, (len(e.ids) for e in single.encode_batch(new, add_special_tokens=False))))
+            out.append(zlib.compress(np.array([known[w] for w in words], "<u4").tobytes(), 1))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["chunk", "first", "sizes"])
 
 
 def _summed(t: pa.Table) -> pa.Table:
     """One chunk: piece counts by position, and documents with frequencies."""
     is_doc = pc.is_valid(t["freq"])
     counts, docs = t.filter(pc.invert(is_doc)), t.filter(is_doc)
-    pos, n = counts["pos"].to_numpy(), counts["n"].to_numpy()
-    size = np.zeros(int(pos.max()) + 1 if len(pos) else 0, np.int64)
-    size[pos] = n
+    runs = sorted(zip(counts["first"].to_pylist(), counts["sizes"].to_pylist()))
+    size = np.concatenate([np.frombuffer(zlib.decompress(s), "<u4") for _, s in runs]).astype(np.int64) if runs else np.zeros(0, np.int64)
     out = []
     for blob, special in zip(docs["freq"].to_pylist(), docs["special"].to_pylist()):
         f = np.frombuffer(zlib.decompress(blob), "<u4").astype(np.int64)
@@ -134,12 +143,13 @@ def _summed(t: pa.Table) -> pa.Table:
 def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK) -> DataFrame:
     """``(id, n_bytes, n_tokens)`` for every row, as the tokenizers library counts a text without added special tokens."""
     src = common.only(df, id=F.col(f"`{id_col}`").cast("long"), text=F.col(f"`{text_col}`").cast("string"))
-    counted = common.cut(src.mapInArrow(partial(_counted, path=path, chunk_bytes=chunk_bytes), _SQL))
-    pieces = counted.filter("pieces is not null").select("chunk", "special", F.posexplode("pieces").alias("at", "piece")).select("chunk", (F.col("special") + F.col("at")).cast("int").alias("pos"), "piece")
-    sized = pieces.repartition("piece").sortWithinPartitions("piece").mapInArrow(partial(_piece_counts, path=path), "chunk long, pos int, n int")
-    docs = counted.filter("freq is not null").select("chunk", "id", "n_bytes", "special", "freq", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("int").alias("n"))
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = common.cut(src.mapInArrow(partial(_counted, path=path, chunk_bytes=chunk_bytes, buckets=buckets), _SQL))
+    pieces = counted.filter("pieces is not null").repartition(buckets, "bucket").select("chunk", "first", "pieces")
+    sized = pieces.mapInArrow(partial(_piece_counts, path=path), "chunk long, first int, sizes binary")
+    docs = counted.filter("freq is not null").select("chunk", "id", "n_bytes", "special", "freq", F.lit(None).cast("int").alias("first"), F.lit(None).cast("binary").alias("sizes"))
     none = F.lit(None)
-    back = sized.select("chunk", none.cast("long").alias("id"), none.cast("long").alias("n_bytes"), none.cast("long").alias("special"), none.cast("binary").alias("freq"), "pos", "n")
+    back = sized.select("chunk", none.cast("long").alias("id"), none.cast("long").alias("n_bytes"), none.cast("long").alias("special"), none.cast("binary").alias("freq"), "first", "sizes")
 
     def total(t: pa.Table) -> pa.Table:
         return _summed(t)
