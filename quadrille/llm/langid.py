@@ -102,8 +102,11 @@ def _held(id_col: str):
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, docs: int = TRAIN_DOCS) -> Model:
     src = common.only(df, id=id_col, text=F.col(f"`{text_col}`").cast("string"), lang=F.col(f"`{lang_col}`").cast("string"))
     some = src.filter(~_held("id") & F.col("lang").isNotNull() & (F.length("text") <= TRAIN_CHARS)).withColumn("h", F.xxhash64("id", "text"))
-    ranked = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= per_language)
-    return Model([(r["lang"], r["text"]) for r in ranked.orderBy("r", "lang").limit(docs).select("lang", "text").collect()])
+    # ranks on hashes alone, so texts leave the executors only once they are chosen
+    ranked = some.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= per_language)
+    chosen = ranked.orderBy("r", "lang").limit(docs).groupBy("lang").agg(F.max("h").alias("last"))
+    rows = some.join(chosen, "lang").filter(F.col("h") <= F.col("last")).select("lang", "text", "h").distinct().collect()
+    return Model([(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["text"]))])
 
 
 def _predicted(batches, model: Model):

@@ -253,9 +253,12 @@ def train(df: DataFrame, text_col: str = "text", docs: int = TRAIN_DOCS, chars:
     """Fit on at most ``docs`` distinct texts with digits or at signs, smallest hash first."""
     text = F.col(f"`{text_col}`").cast("string")
     some = df.select(text.alias("text")).filter((F.length("text") <= chars) & F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("text"))
-    # equal texts have equal hashes: twice the rows, then distinct on the driver
-    rows = some.orderBy("h", "text").limit(2 * docs).collect()
-    return fit(list(dict.fromkeys(r["text"] for r in rows))[:docs])
+    # the hash of the last text taken, then the texts up to it: only bounded samples leave the executors
+    last = some.select("h").distinct().orderBy("h").limit(docs).agg(F.max("h")).first()[0]
+    if last is None:
+        return fit([])
+    rows = some.filter(F.col("h") <= last).groupBy("h").agg(F.min("text").alias("text")).collect()
+    return fit([r["text"] for r in sorted(rows, key=lambda r: r["h"])])
 
 
 def pii_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: Field | None = None) -> DataFrame:

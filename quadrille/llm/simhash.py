@@ -298,32 +298,46 @@ def _verified(batches, width: int, least: float):
         yield pa.RecordBatch.from_arrays([got.column(0), got.column(1)], names=["src", "dst"])
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, slack: float = 0.05, rows: int | None = None) -> DataFrame:
-    """``(id, component)``: groups of texts whose ``width``-word shingle sets have a Jaccard similarity of ``least`` or more.
+def _keyed(batches, width: int, words: int):
+    for b in common.slices(batches, 2):
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([fingerprint(t, width, words) for t in b.column(2).to_pylist()], pa.binary())], names=["id", "t", "fp"])
 
-    A long fingerprint (many seeds) estimates the angle between shingle sets;
-    ring segments as wide as log2 of the row count minus 2 (16 at least) serve as keys, as many
-    as a pair at ``least`` needs to share one with probability 0.95.  Links of the
-    resulting spanning forests are checked exactly on whole texts.
+
+def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, slack: float = 0.05) -> DataFrame:
+    """``(rep, t, component)``, a row a distinct text: smallest id and xxhash64 of the text, and its group.
+
+    Groups hold texts whose ``width``-word shingle sets have a Jaccard similarity of
+    ``least`` or more, and whatever such links reach.  A long fingerprint (many
+    seeds) estimates the angle between shingle sets; ring segments as wide as log2
+    of the row count minus 2 (16 at least) serve as keys, as many as a pair at
+    ``least`` needs to share one with probability 0.95.  Chains from such a segment
+    must stay within the proportional budget of ``least - slack``.  Links of the
+    resulting spanning forests are then checked exactly on whole texts.
     """
-    src = common.only(df, id=F.col(f"`{id_col}`").cast("long"), text=F.col(f"`{text_col}`").cast("string"))
-    rows = src.count() if rows is None else rows
+    text = F.col(f"`{text_col}`").cast("string")
+    src = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
     agree = 1 - math.acos(2 * least / (1 + least)) / math.pi
-    bits = max(16, math.ceil(math.log2(max(2, rows))) - 2)
+    bits = max(16, math.ceil(math.log2(max(2, src.count()))) - 2)
     segments = math.ceil(math.log(20) / agree**bits)
     words = math.ceil(segments * bits / 64)
     low = least - slack
     tau = math.ceil(segments * bits * math.acos(2 * low / (1 + low)) / math.pi)
-    # equal texts first: one row a text goes on
-    keyed = src.withColumn("t", F.xxhash64("text")).withColumn("u", F.sha2(F.coalesce("text", F.lit("")), 256))
-    same = keyed.groupBy("t", "u").agg(F.min("id").alias("rep"))
-    first = src.join(same.filter("rep is not null").select(F.col("rep").alias("id")).distinct(), "id").dropDuplicates(["id"])
-    fp = common.cut(fingerprints(first, "id", "text", width, words))
-    classes = fp.groupBy("fp").agg(F.min("id").alias("id"))
-    inside = fp.join(classes.withColumnRenamed("id", "dst"), "fp").filter("id <> dst").select(F.col("id").alias("src"), "dst")
-    edges = links(classes, tau, segments, bits, False).union(inside).distinct()
-    l, r = (src.select(F.col("id").alias(k), F.col("text").alias(f"{k}_text")).dropDuplicates([k]) for k in ("src", "dst"))
+    rows = common.cut(src.mapInArrow(partial(_keyed, width=width, words=words), "id long, t long, fp binary").groupBy("fp", "t").agg(F.min("id").alias("rep")))
+    named = rows.filter("rep is not null")
+    classes = named.groupBy("fp").agg(F.min("rep").alias("id"))
+    inside = named.join(classes, "fp").filter("rep <> id").select(F.col("rep").alias("src"), F.col("id").alias("dst"))
+    edges = common.cut(links(classes.select("id", "fp"), tau, segments, bits, False).union(inside).distinct())
+    ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().join(named.select(F.col("rep").alias("id"), "t"), "id")
+    held = src.join(ends, ["id", "t"]).dropDuplicates(["id"])
+    l, r = (held.select(F.col("id").alias(k), F.col("text").alias(f"{k}_text")) for k in ("src", "dst"))
     pairs = edges.join(l, "src").join(r, "dst").select("src", "dst", "src_text", "dst_text")
     comp = common.connected(pairs.mapInArrow(partial(_verified, width=width, least=least), "src long, dst long"))
-    named = same.join(comp, F.col("rep") == F.col("node"), "left").select("t", "u", F.coalesce("component", "rep").alias("component"))
-    return keyed.select("id", "t", "u").join(named, ["t", "u"]).select("id", "component")
+    return rows.join(comp, F.col("rep") == F.col("node"), "left").select("rep", "t", F.coalesce("component", "rep").alias("component"))
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` that stand for their group: smallest id, one row an id (a text found with null ids only keeps one row)."""
+    keep = similar_texts(df, id_col, text_col, **options).filter("rep is null or rep = component").select("rep", F.col("t").alias("kept"))
+    rows = df.withColumns({"_id": F.col(f"`{id_col}`").cast("long"), "_t": F.xxhash64(F.col(f"`{text_col}`").cast("string"))})
+    out = rows.join(keep, (F.col("_t") == F.col("kept")) & F.col("_id").eqNullSafe(F.col("rep"))).dropDuplicates(["_id", "_t"])
+    return out.select(*[F.col(f"`{c}`") for c in df.columns])
