@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut, shared_dir
+from ..operators.graph import connected
+
+__all__ = ["WORD", "connected", "cut", "keyed_groups", "only", "shared_dir", "slices", "table"]
+
 #: Characters that separate words (ASCII white space), as used by every word-based operator here.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,27 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a fresh local one only where unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        kept = spark.sparkContext.getCheckpointDir()
-        if kept:
-            return kept
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="quadrille-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later stages read files, so a lost executor costs no recomputation."""
-    if not df.sparkSession.sparkContext.getCheckpointDir():
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def only(df: DataFrame, **columns) -> DataFrame:
     """Project to fresh names first, so extra or clashing input columns never matter."""
     return df.select(*[F.col(f"`{c}`").alias(new) if isinstance(c, str) else c.alias(new) for new, c in columns.items()])
@@ -78,36 +61,3 @@ def keyed_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
             held = [batch]
     if held:
         yield pa.Table.from_batches(held)
-
-
-def connected(edges: DataFrame) -> DataFrame:
-    """Components of undirected ``(src, dst)`` long edges: ``(node, component)``, component the smallest id reachable.
-
-    Alternating large-star and small-star rounds (edges only shrink towards the
-    smallest neighbour, O(log n) rounds), each cut by a checkpoint.  Only a
-    count and a checksum per round reach the driver.
-    """
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        if large:
-            both = e.union(e.select(F.col("dst"), F.col("src"))).toDF("u", "v")
-        else:
-            both = e.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        out = both.join(least, "u")
-        if large:
-            out = out.filter("v > u").select(F.col("v").alias("src"), F.col("m").alias("dst"))
-        else:
-            out = out.select(F.col("v").alias("src"), F.col("m").alias("dst")).union(least.select("u", "m"))
-        return out.filter("src <> dst").distinct()
-
-    e = cut(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).filter("src <> dst").distinct())
-    seen = None
-    while True:
-        e = cut(star(star(e, True), False))
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
-        if now == seen:
-            break
-        seen = now
-    top = e.groupBy("src").agg(F.min("dst").alias("component")).toDF("node", "component")
-    roots = top.select(F.col("component").alias("node"), "component").distinct()
-    return top.union(roots)
