@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from . import common
 
 WEIGHTS = (5, 2, 1)
-SHARD_WORDS, SHARD_ROWS = 1 << 22, 1 << 15
+SHARD_WORDS, SHARD_ROWS = 1 << 20, 1 << 11
 MAX_SOURCES = 1_000_000
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
