@@ -4,8 +4,8 @@ Known words score by their per-language log frequency.  A word never seen in
 training scores by its longest known order of character n-grams (4 down to 1).
 
 The classifier is fitted on a bounded sample of labelled rows: those whose
-crc32(id as text) mod 5 is not 0, at most ``PER_LANGUAGE`` rows a language and
-``TRAIN_DOCS`` in all, smallest hash first, texts up to ``TRAIN_CHARS``
+crc32(id as text) mod 5 is not 0, at most ``PER_LANGUAGE`` rows a language (the
+``LANGUAGES`` most frequent ones) and ``TRAIN_DOCS`` in all, smallest hash first, texts up to ``TRAIN_CHARS``
 characters.  Every row is predicted from its whole text.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0;
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-PER_LANGUAGE, TRAIN_DOCS, TRAIN_CHARS = 600, 6000, 100_000
+PER_LANGUAGE, TRAIN_DOCS, TRAIN_CHARS, LANGUAGES = 600, 6000, 100_000, 1000
 ORDERS = (4, 3, 2, 1)
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CACHE = 200_000
@@ -101,9 +101,12 @@ def _held(id_col: str):
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, docs: int = TRAIN_DOCS) -> Model:
     src = common.only(df, id=id_col, text=F.col(f"`{text_col}`").cast("string"), lang=F.col(f"`{lang_col}`").cast("string"))
-    some = src.filter(~_held("id") & F.col("lang").isNotNull() & (F.length("text") <= TRAIN_CHARS)).withColumn("h", F.xxhash64("id", "text"))
-    # ranks on hashes alone, so texts leave the executors only once they are chosen
-    ranked = some.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= per_language)
+    some = src.filter(~_held("id") & F.col("lang").isNotNull() & (F.length("text") <= TRAIN_CHARS)).withColumn("h", F.shiftrightunsigned(F.xxhash64("id", "text"), 1))
+    # counts combine before the shuffle; a hash threshold then leaves about as many rows a language as are wanted, without their texts
+    sizes = some.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    unit = F.col("h") / F.lit(2.0**63)
+    few = some.select("lang", "h").join(sizes, "lang").filter(unit * F.col("n") <= per_language)
+    ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= per_language)
     chosen = ranked.orderBy("r", "lang").limit(docs).groupBy("lang").agg(F.max("h").alias("last"))
     rows = some.join(chosen, "lang").filter(F.col("h") <= F.col("last")).select("lang", "text", "h").distinct().collect()
     return Model([(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["text"]))])
