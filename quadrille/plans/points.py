@@ -14,7 +14,7 @@ PAIRS = f"{POINTS}, pairs AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, a.x AS
 BEARING = "CASE WHEN dx = 0 AND dy = 0 THEN NULL ELSE (['E','NE','N','NW','W','SW','S','SE'])[CAST(floor((((degrees(atan2(dy, dx)) + 360.0) % 360.0) + 22.5) / 45.0) AS INTEGER) % 8 + 1] END"
 SIGN = "nullif(CASE WHEN dy > 0 THEN 'N' WHEN dy < 0 THEN 'S' ELSE '' END || CASE WHEN dx > 0 THEN 'E' WHEN dx < 0 THEN 'W' ELSE '' END, '')"
 BLOCK = "CAST(CAST(floor(({x}) / 2000.0) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(floor(({y}) / 2000.0) AS BIGINT) AS VARCHAR)"
-BOXES = "boxes AS (SELECT p_partkey AS id, CAST(p_partkey % 97 AS BIGINT) AS x1, CAST(p_partkey % 89 AS BIGINT) AS y1, CAST(p_partkey % 97 + 1 + p_size % 7 AS BIGINT) AS x2, CAST(p_partkey % 89 + 1 + p_size % 5 AS BIGINT) AS y2 FROM part)"
+BOXES = "boxes AS (SELECT p_partkey AS id, CAST(p_partkey % 97 AS BIGINT) AS x1, CAST(p_partkey // 10 AS BIGINT) AS y1, CAST(p_partkey % 97 + 1 + p_size % 7 AS BIGINT) AS x2, CAST(p_partkey // 10 + 1 + p_size % 5 AS BIGINT) AS y2 FROM part)"
 TOPOLOGY = """CASE WHEN ax1 <= bx1 AND ay1 <= by1 AND ax2 >= bx2 AND ay2 >= by2 THEN 'Contains' WHEN bx1 <= ax1 AND by1 <= ay1 AND bx2 >= ax2 AND by2 >= ay2 THEN 'Within'
  WHEN least(ax2, bx2) < greatest(ax1, bx1) OR least(ay2, by2) < greatest(ay1, by1) THEN 'Disjoint'
  WHEN least(ax2, bx2) = greatest(ax1, bx1) OR least(ay2, by2) = greatest(ay1, by1) THEN 'Touches' ELSE 'Intersects' END"""
@@ -33,8 +33,10 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes in rows of ten: the area grows with the table, so the density does not."""
     k, s = F.col("p_partkey"), F.col("p_size")
-    return table(spark, sf, "part").select(k.alias("id"), (k % 97).alias("x1"), (k % 89).alias("y1"), (k % 97 + 1 + s % 7).alias("x2"), (k % 89 + 1 + s % 5).alias("y2"))
+    y = F.floor(k / 10).cast("long")
+    return table(spark, sf, "part").select(k.alias("id"), (k % 97).alias("x1"), y.alias("y1"), (k % 97 + 1 + s % 7).alias("x2"), (y + 1 + s % 5).alias("y2"))
 
 
 

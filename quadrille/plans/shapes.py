@@ -22,7 +22,13 @@ def rectangle_pairs(spark, sf):
     b = boxes(spark, sf)
     l, r = b.toDF(*[f"l_{c}" for c in b.columns]), b.toDF(*[f"r_{c}" for c in b.columns])
     side = lambda s: _ring(*[f"{s}_{c}" for c in ("x1", "y1", "x2", "y2")])
-    return l.join(r, F.col("r_id") == F.col("l_id") + 1).select(F.col("l_id").alias("id"), side("l").alias("a"), side("r").alias("b"))
+    pairs = l.join(r, F.col("r_id") == F.col("l_id") + 1).select(F.col("l_id").alias("id"), side("l").alias("a"), side("r").alias("b"))
+    return _dealt(pairs, "id")
+
+
+def _dealt(df, key):
+    """Spread few rows with much work each over all cores."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
 
 
 FIVE = f"CASE WHEN ax1 = bx1 AND ay1 = by1 AND ax2 = bx2 AND ay2 = by2 THEN 'Contains' ELSE {TOPOLOGY} END"
@@ -58,7 +64,7 @@ def _blob(key, n: int = 24):
 def simplified_pairs(spark, sf):
     """Rendered views of polygon pairs, one a supplier: the coarsest that keep label and matrix."""
     k = F.col("s_suppkey")
-    rows = table(spark, sf, "supplier").select(k.alias("id"), _blob(k).alias("a"), _blob(k + 1).alias("b"))
+    rows = _dealt(table(spark, sf, "supplier").select(k.alias("id"), _blob(k).alias("a"), _blob(k + 1).alias("b")), "id")
     v = rows.select("id", polygon.related(F.col("a"), F.col("b")).alias("r"), polygon.simplified_pair(F.col("a"), F.col("b")).alias("s"))
     again = polygon.related(F.col("s.a"), F.col("s.b"))
     return v.withColumn("t", again).select("id", F.col("r.relation").alias("relation"), F.col("s.tolerance").alias("tolerance"), (F.col("t.de9im") == F.col("r.de9im")).alias("kept"))
@@ -83,6 +89,6 @@ def line_lengths(spark, sf):
 def nearby_polygons(spark, sf):
     """Grid join on bounding boxes first, the exact polygon test on its pairs only."""
     b = boxes(spark, sf)
-    pairs = joins.grid_join(b, b).filter("l_id < r_id")
+    pairs = _dealt(joins.grid_join(b, b).filter("l_id < r_id"), "l_id")
     side = lambda s: _ring(*[f"{s}_{c}" for c in ("x1", "y1", "x2", "y2")])
     return pairs.select("l_id", "r_id", polygon.related(side("l"), side("r")).alias("r")).select("l_id", "r_id", F.col("r.relation5").alias("relation"))
