@@ -71,3 +71,18 @@ def manifest_violations() -> Column:
 
 def url_basename(url: Column) -> Column:
     return F.substring_index(F.parse_url(url, F.lit("PATH")), "/", -1)
+
+
+def valid_point(coordinates: Column) -> Column:
+    return F.coalesce(F.size(coordinates) == 2, F.lit(False)) & F.coalesce(~F.exists(coordinates, lambda v: v.isNull() | F.isnan(v)), F.lit(False))
+
+
+def valid_geojson(text: Column) -> Column:
+    """An object with a type and coordinates."""
+    parts = F.from_json(text, "type string, coordinates string")
+    return F.coalesce(F.try_parse_json(text).isNotNull() & parts["type"].isNotNull() & parts["coordinates"].isNotNull(), F.lit(False))
+
+
+def edges_declared(nodes: Column, edges: Column, source: Column, target: Column) -> Column:
+    """Every edge is a pair of declared nodes; so are both ends of the query."""
+    return F.coalesce(F.forall(edges, lambda e: (F.size(e) == 2) & F.forall(e, lambda v: F.array_contains(nodes, v))) & F.array_contains(nodes, source) & F.array_contains(nodes, target), F.lit(False))

@@ -190,3 +190,13 @@ def witness_paths(scenes: DataFrame) -> DataFrame:
         return pd.Series([_first_path([(x["a"], x["b"]) for x in rows], s, t) for rows, s, t in zip(links, source, target)])
 
     return scenes.select("scene", find("links", "source", "target").alias("path"))
+
+
+def path_edges(paths: DataFrame, edges: DataFrame, key: list[str], edge_id: str = "edge_id") -> DataFrame:
+    """``key`` columns with ``edge_ids``: the cheapest edge of every leg of ``path``, in order."""
+    cheap = edges.groupBy("src", "dst").agg(F.min_by(edge_id, F.struct("cost", edge_id)).alias("e"))
+    n = F.greatest(F.size("path") - 1, F.lit(0))
+    legs = F.arrays_zip(F.slice("path", 1, n).alias("src"), F.slice("path", 2, n).alias("dst"))
+    each = paths.select(*key, F.posexplode(legs).alias("at", "leg")).select(*key, "at", F.col("leg.src").alias("src"), F.col("leg.dst").alias("dst"))
+    got = each.join(cheap, ["src", "dst"], "left").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "e"))).alias("s"))
+    return got.select(*key, F.transform("s", lambda x: x["e"]).alias("edge_ids"))

@@ -43,3 +43,10 @@ def require_count(df: DataFrame, n: int, what: str) -> DataFrame:
     if got != n:
         raise ValueError(f"{what}: {got} rows, expected {n}")
     return df
+
+
+def alternate(df: DataFrame, flag: str, order: list, n: int) -> DataFrame:
+    """``n`` rows that alternate between true and false, true first; the order inside each class is given."""
+    w = Window.partitionBy(flag).orderBy(*order)
+    few = df.withColumn("turn", F.row_number().over(w)).filter(F.col("turn") <= (n + 1) // 2)
+    return few.orderBy("turn", F.desc(flag)).limit(n)
