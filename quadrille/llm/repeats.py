@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import marshal
 import uuid
 import zlib
 from functools import partial
@@ -47,14 +48,30 @@ _LAST = np.iinfo(np.int64).max
 
 
 def _save(**columns) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **columns)
-    return zlib.compress(out.getvalue(), 1)
+    """Packed columns: names (64-bit unsigned) as they are, offsets (32-bit unsigned) as steps, all but the names compressed."""
+    head, raw, rest = [], [], []
+    for k, v in columns.items():
+        head.append((k, v.dtype.str, len(v)))
+        if v.dtype == np.uint64:
+            raw.append(v.tobytes())
+        else:
+            rest.append((np.diff(v, prepend=np.uint32(0)) if v.dtype == np.uint32 else v).tobytes())
+    body = zlib.compress(marshal.dumps(head) + b"".join(rest), 1)
+    return len(body).to_bytes(8, "little") + body + b"".join(raw)
 
 
 def _open(blob: bytes) -> dict[str, np.ndarray]:
-    with np.load(io.BytesIO(zlib.decompress(blob))) as z:
-        return {k: z[k] for k in z.files}
+    n = int.from_bytes(blob[:8], "little")
+    rest = io.BytesIO(zlib.decompress(blob[8 : 8 + n]))
+    head, raw, out = marshal.load(rest), 8 + n, {}
+    for k, dtype, size in head:
+        if dtype == "<u8":
+            out[k] = np.frombuffer(blob, np.uint64, size, raw)
+            raw += 8 * size
+        else:
+            v = np.frombuffer(rest.read(np.dtype(dtype).itemsize * size), dtype)
+            out[k] = np.cumsum(v, dtype=np.uint32) if dtype == "<u4" else v
+    return out
 
 
 class _Names:
@@ -149,15 +166,16 @@ def _anchored(batches, folder: str, length: int, gram: int, buckets: int):
         cols = []
         if len(keep):
             bucket = (g % np.uint64(buckets)).astype(np.int64)
-            near = [(names.around(anchor, behind, reach) >> np.uint64(56)) for _, _, behind, reach in zones]
-            one = (g >> np.uint64(16) << np.uint64(16)) | (near[0] << np.uint64(8)) | near[1]
-            two = (x >> np.uint64(16) << np.uint64(16)) | (near[2] << np.uint64(8)) | near[3]
+            near = [(names.around(anchor, behind, reach) >> np.uint64(48)) for _, _, behind, reach in zones]
+            one = (g >> np.uint64(16) << np.uint64(16)) | near[0]
+            two = (x >> np.uint64(16) << np.uint64(16)) | near[1]
+            three = ((near[2] << np.uint64(16)) | near[3]).astype(np.uint32)
             by = np.argsort(bucket, kind="stable")
             edge = np.concatenate((np.flatnonzero(np.diff(bucket[by], prepend=-1)), [len(by)]))
             for a, z in zip(edge, edge[1:]):
                 s = by[a:z]
                 docs, local = np.unique(doc[s], return_inverse=True)
-                cols.append((int(bucket[s[0]]), _save(one=one[s], two=two[s], docs=docs.astype(np.int32), order=order[docs], doc=local.astype(np.uint16 if len(docs) < 65536 else np.int32), first=own[s].astype(np.uint32), n=(last - first)[s].astype(np.uint8), d=(anchor - first)[s].astype(np.uint8))))
+                cols.append((int(bucket[s[0]]), _save(one=one[s], two=two[s], three=three[s], docs=docs.astype(np.int32), order=order[docs], doc=local.astype(np.uint16 if len(docs) < 65536 else np.int32), first=own[s].astype(np.uint32), n=(last - first)[s].astype(np.uint8), d=(anchor - first)[s].astype(np.uint8))))
         cols.append((-1, None))  # every slice has a row, whatever it holds
         yield pa.RecordBatch.from_arrays([pa.array([home] * len(cols)), pa.array([c[0] for c in cols], pa.int32()), pa.array([c[1] for c in cols], pa.binary())], names=["slice", "bucket", "data"])
     if out is not None:
@@ -235,7 +253,7 @@ def _bucketed(batches, length: int, gram: int):
     for _, rows in _by_key(batches, "bucket"):
         blocks = [_open(r["data"]) for r in rows]
         part = np.repeat(np.arange(len(blocks)), [len(x["one"]) for x in blocks])
-        one, two, first, n, d = (np.concatenate([x[k] for x in blocks]) for k in ("one", "two", "first", "n", "d"))
+        one, two, three, first, n, d = (np.concatenate([x[k] for x in blocks]) for k in ("one", "two", "three", "first", "n", "d"))
         rank = np.concatenate([x["order"][x["doc"]] for x in blocks])
         doc = np.concatenate([x["docs"][x["doc"]] for x in blocks])
         del blocks
@@ -244,14 +262,14 @@ def _bucketed(batches, length: int, gram: int):
         keep = np.flatnonzero(a < b)
         if not len(keep):
             continue
-        part, one, two, first, n, d, rank, doc, g = (v[keep] for v in (part, one, two, first, n, d, rank, doc, g))
+        part, one, two, three, first, n, d, rank, doc, g = (v[keep] for v in (part, one, two, three, first, n, d, rank, doc, g))
         x = two >> np.uint64(16)
         a, _ = _spread([g, x], rank, np.ones(len(g), bool))
         gone = rank > a
         n, d = n.astype(np.int64), d.astype(np.int64)
         # strings of a run start at distances d - n .. d before the anchor
         low, high = np.full(len(g), 1 << 20), np.full(len(g), -1)
-        for (near, far, _, _), name in zip(zones, ((one >> np.uint64(8)) & np.uint64(255), one & np.uint64(255), (two >> np.uint64(8)) & np.uint64(255), two & np.uint64(255))):
+        for (near, far, _, _), name in zip(zones, (one & np.uint64(65535), two & np.uint64(65535), three >> np.uint32(16), three & np.uint32(65535))):
             hit = ~gone & (d >= near) & (d - n <= far)
             a, b = _spread([g, name], rank, hit)
             hit &= a < b
