@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .text import STAGES, extract_answer, normalize_answer
 
 
+# The rewards' sizes.
+
+
 def conclusion_reward(completion: Column, expected: Column) -> Column:
     """1 right, -1 wrong, -1.4 without any stage heading."""
     any_stage = F.lit(False)

@@ -34,7 +34,7 @@ class Spec:
 
 
 def action_violations(spec: Spec, fields: Column, entities: Column, obstacles: Column) -> Column:
-    """Ordered reasons against an action; an unknown operation is the only reason of its row.
+    """Ordered reasons against an action (fixed wording); an unknown operation is the only reason of its row.
 
     ``fields`` MAP<STRING, STRING> as parsed from JSON (``target`` a JSON list), ``entities`` ARRAY<STRING>,
     ``obstacles`` ARRAY<STRING> of ``row,column``.
