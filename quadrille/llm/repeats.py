@@ -36,6 +36,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -188,7 +189,7 @@ def _slice_blob(b: pa.RecordBatch, own, n, doc) -> bytes:
     with pa.ipc.new_stream(sink, b.schema) as w:
         w.write_batch(b)
     gone = _save(first=own.astype(np.uint32), n=n.astype(np.uint8), doc=doc.astype(np.int32))
-    body = zlib.compress(sink.getvalue(), 1)
+    body = zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
     return len(body).to_bytes(8, "little") + body + gone
 
 
@@ -200,7 +201,7 @@ def _read_slice(folder: str, home: str) -> tuple[pa.Table, dict]:
         f.seek(int(at))
         data = f.read(int(n))
     size = int.from_bytes(data[:8], "little")
-    return pa.ipc.open_stream(zlib.decompress(data[8 : 8 + size])).read_all(), _open(data[8 + size :])
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data[8 : 8 + size])).read_all(), _open(data[8 + size :])
 
 
 def _spread(keys: list[np.ndarray], value: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -367,10 +368,10 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     dealt = src.mapInArrow(partial(_anchored, folder=folder, buckets=buckets, **opts), block).repartition(buckets, "bucket").sortWithinPartitions("bucket")
     # a slice's own row (bucket -1) passes through
     first = common.cut(dealt.mapInArrow(partial(_sorted_names, **opts), _FOUND))
-    open_ = first.filter("not sure").repartition("slice").sortWithinPartitions("slice")
+    open_ = first.filter("not sure").repartition(buckets // 2, "slice").sortWithinPartitions("slice")
     named = open_.mapInArrow(partial(_named, folder=folder, buckets=buckets, **opts), block)
     last = named.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_decided, _FOUND)
-    gone = first.filter("sure or sure is null").union(last).repartition("slice").sortWithinPartitions("slice")
+    gone = first.filter("sure or sure is null").union(last).repartition(buckets // 2, "slice").sortWithinPartitions("slice")
     return gone.mapInArrow(partial(_finished, folder=folder, length=length, texts=texts), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
