@@ -13,7 +13,7 @@ with every block of vectors, and each pair of blocks returns at most k rows a qu
 
 Defined results: vectors that are null, zero, of a length other than the most
 frequent one, or hold null or non-finite components take no part; ties in score go
-to the smaller id; repeated ids count once; an empty table gives an empty result;
+to the smaller id; of rows with one id the smallest vector counts; an empty table gives an empty result;
 extra columns are ignored.
 """
 
@@ -120,7 +120,7 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     spark = df.sparkSession
     v = F.col(f"`{vector_col}`").cast("array<double>")
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v")).filter("id is not null and v is not null")
-    rows = rows.filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)).dropDuplicates(["id"])
+    rows = rows.filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)).groupBy("id").agg(F.min("v").alias("v"))
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if sizes is None:
