@@ -37,6 +37,8 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 _WORD = re.compile(common.WORD)
 #: Largest bucket compared in one piece; larger ones are dealt out as pairs of blocks.
 BLOCK = 4096
+#: The same for whole texts.
+TEXTS = 1024
 _PIECE = 1 << 16
 
 
@@ -287,15 +289,76 @@ def _shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
 
-def _verified(batches, width: int, least: float):
-    for b in common.slices(common.slices(batches, 2), 3):
-        keep = []
-        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-            x, y = _shingle_set(x, width), _shingle_set(y, width)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both >= least * (len(x) + len(y) - both))
-        got = b.filter(pa.array(keep, pa.bool_()))
-        yield pa.RecordBatch.from_arrays([got.column(0), got.column(1)], names=["src", "dst"])
+def _alike(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Spanning forest of all pairs of sets with a Jaccard similarity of ``least`` or more.
+
+    Every pair is decided: by the exact similarity, by a link of its two groups, or
+    because it shares none of its rarest elements, one of which it must share.
+    """
+    size = np.array([len(x) for x in sets])
+    label, out = np.arange(len(sets)), []
+
+    def join(i, j):
+        a, b = sorted((label[i], label[j]))
+        label[label == b] = a
+        out.append((int(i), int(j)))
+
+    empty = np.flatnonzero(size == 0)
+    for i in empty[1:]:
+        join(empty[0], i)
+    if len(empty) == len(sets):
+        return out
+    _, flat, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    single, ends = int((count == 1).sum()), np.cumsum(size)
+    first = []
+    for n, end in zip(size.tolist(), ends.tolist()):
+        r = np.sort(rank[flat[end - n : end]])[: n - math.ceil(least * n - 1e-6) + 1]
+        first.append(r[r >= single])
+    held = np.concatenate(first)
+    who = np.repeat(np.arange(len(sets)), [len(r) for r in first])
+    order = np.argsort(held, kind="stable")
+    held, who = held[order], who[order]
+    for i in range(len(sets)):
+        near = np.zeros(len(sets), bool)
+        for lo, hi in zip(np.searchsorted(held, first[i]), np.searchsorted(held, first[i], "right")):
+            near[who[lo:hi]] = True
+        near &= (np.minimum(size, size[i]) >= least * np.maximum(size, size[i]) - 1e-6) & (label != label[i])
+        for j in np.flatnonzero(near[:i]):
+            if label[j] != label[i]:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both >= least * (size[i] + size[j] - both):
+                    join(j, i)
+    return out
+
+
+def _compared(batches, width: int, least: float):
+    """Links within each group of rows ``(g, id, text)``, which come sorted by ``g``."""
+    for t in common.keyed_groups(batches, "g"):
+        g, ids, texts = t["g"].to_numpy(), t["id"].to_numpy(), t["text"]
+        edge = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
+        src, dst = [], []
+        for a, b in zip(edge.tolist(), edge[1:].tolist()):
+            if b - a > 1:
+                found = _alike([_shingle_set(x.as_py(), width) for x in texts.slice(a, b - a)], least)
+                src += [ids[a + i] for i, _ in found]
+                dst += [ids[a + j] for _, j in found]
+        if src:
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+
+def _exact_links(src: DataFrame, named: DataFrame, edges: DataFrame, width: int, least: float, block: int) -> DataFrame:
+    """All links of ``least`` within the components of the candidate ``edges``, as spanning forests.
+
+    Members of a component of more than ``block`` texts meet as pairs of blocks.
+    """
+    comp = common.cut(common.connected(edges).select(F.col("node").alias("id"), F.col("component").alias("c")))
+    large = comp.groupBy("c").agg(F.ceil(F.count("*") / block).cast("int").alias("n")).filter("n > 1")
+    ends = comp.join(named.select(F.col("rep").alias("id"), "t"), "id").join(F.broadcast(large), "c", "left")
+    held = src.join(ends, ["id", "t"]).dropDuplicates(["id"]).withColumn("n", F.coalesce("n", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(F.xxhash64("c", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "id", "text")
+    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(partial(_compared, width=width, least=least), "src long, dst long")
 
 
 def _keyed(batches, width: int, words: int):
@@ -303,7 +366,7 @@ def _keyed(batches, width: int, words: int):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([fingerprint(t, width, words) for t in b.column(2).to_pylist()], pa.binary())], names=["id", "t", "fp"])
 
 
-def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, slack: float = 0.05) -> DataFrame:
+def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, slack: float = 0.05, block: int = TEXTS) -> DataFrame:
     """``(rep, t, component)``, a row a distinct text: smallest id and xxhash64 of the text, and its group.
 
     Groups hold texts whose ``width``-word shingle sets have a Jaccard similarity of
@@ -311,8 +374,8 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     seeds) estimates the angle between shingle sets; ring segments as wide as log2
     of the row count minus 2 (16 at least) serve as keys, as many as a pair at
     ``least`` needs to share one with probability 0.95.  Chains from such a segment
-    must stay within the proportional budget of ``least - slack``.  Links of the
-    resulting spanning forests are then checked exactly on whole texts.
+    must stay within the proportional budget of ``least - slack``.  Within each
+    component of these links all pairs are then decided exactly on whole texts.
     """
     text = F.col(f"`{text_col}`").cast("string")
     src = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
@@ -327,11 +390,7 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = named.groupBy("fp").agg(F.min("rep").alias("id"))
     inside = named.join(classes, "fp").filter("rep <> id").select(F.col("rep").alias("src"), F.col("id").alias("dst"))
     edges = common.cut(links(classes.select("id", "fp"), tau, segments, bits, False).union(inside).distinct())
-    ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().join(named.select(F.col("rep").alias("id"), "t"), "id")
-    held = src.join(ends, ["id", "t"]).dropDuplicates(["id"])
-    l, r = (held.select(F.col("id").alias(k), F.col("text").alias(f"{k}_text")) for k in ("src", "dst"))
-    pairs = edges.join(l, "src").join(r, "dst").select("src", "dst", "src_text", "dst_text")
-    comp = common.connected(pairs.mapInArrow(partial(_verified, width=width, least=least), "src long, dst long"))
+    comp = common.connected(_exact_links(src, named, edges, width, least, block))
     return rows.join(comp, F.col("rep") == F.col("node"), "left").select("rep", "t", F.coalesce("component", "rep").alias("component"))
 
 

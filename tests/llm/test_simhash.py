@@ -3,6 +3,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quadrille.llm import common, simhash
 
@@ -92,6 +93,45 @@ def test_similar_texts_keeps_one_of_each_group(docs, odd):
     assert None not in ids
 
 
+def brute_groups(texts, least=0.8, width=5):
+    """Smallest position of each text's group, by comparing all pairs of shingle sets."""
+
+    def shingles(text):
+        words = WORD.findall(text.translate({c: c + 32 for c in range(65, 91)}))
+        return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+    sets, label = [shingles(x) for x in texts], list(range(len(texts)))
+    for j, y in enumerate(sets):
+        for i, x in enumerate(sets[:j]):
+            if len(x & y) >= least * len(x | y) and label[i] != label[j]:
+                a, b = sorted((label[i], label[j]))
+                label = [a if c == b else c for c in label]
+    return label
+
+
+def variants(seed, count, changes, length=400):
+    """Texts that differ from a common one in some words, so that many pairs lie around the threshold."""
+    rng = np.random.default_rng(seed)
+    for k in range(count):
+        words = [f"s{seed}w{i}" for i in range(length)]
+        for i in rng.choice(length, size=changes[k % len(changes)], replace=False):
+            words[i] = f"k{k}c{i}"
+        yield " ".join(words)
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_thinned_candidates_lose_no_link(spark, block):
+    """Candidates only form a path; links beside the path count all the same."""
+    texts = [*variants(1, 60, (5, 6, 7)), *variants(2, 30, (4, 5))]
+    want = brute_groups(texts)
+    assert len(set(want)) == 40
+    src = spark.createDataFrame([(i, i, x) for i, x in enumerate(texts)], "id long, t long, text string")
+    path = spark.createDataFrame([(i, i + 1) for i in range(len(texts) - 1)], "src long, dst long")
+    found = simhash._exact_links(src, src.select(F.col("id").alias("rep"), "t"), path, 5, 0.8, block)
+    got = {r["node"]: r["component"] for r in common.connected(found).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == want
+
+
 def test_empty(docs):
     assert simhash.near_duplicates(docs([])).count() == 0
     assert simhash.deduplicated(docs([])).count() == 0
