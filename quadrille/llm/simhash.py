@@ -39,6 +39,8 @@ _WORD = re.compile(common.WORD)
 BLOCK = 4096
 #: The same for whole texts.
 TEXTS = 1024
+#: Texts sampled for frequent shingles, how many of those, and the share of a prefix that must agree.
+SAMPLE, COMMON, SHARE = 4000, 20_000, 20
 _PIECE = 1 << 16
 
 
@@ -361,37 +363,103 @@ def _exact_links(src: DataFrame, named: DataFrame, edges: DataFrame, width: int,
     return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(partial(_compared, width=width, least=least), "src long, dst long")
 
 
-def _keyed(batches, width: int, words: int):
+def _sampled(batches, width: int):
+    for b in common.slices(batches, 0):
+        got = [_shingle_set(t, width) for t in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64))], names=["h"])
+
+
+def _common(src: DataFrame, width: int) -> np.ndarray:
+    """Frequent shingles of a sample of texts; they only come last in the order of shingles, which any order may do."""
+    parts = max(1, src.count() // SAMPLE)
+    some = src.filter(F.pmod("t", F.lit(parts)) == 0).dropDuplicates(["t"]).select("text")
+    top = some.mapInArrow(partial(_sampled, width=width), "h long").groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).collect()
+    return np.array(sorted(r["h"] for r in top), np.int64).view(np.uint64)
+
+
+def _prefixed(batches, width: int, least: float, late: np.ndarray):
+    late = np.sort(late)
     for b in common.slices(batches, 2):
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([fingerprint(t, width, words) for t in b.column(2).to_pylist()], pa.binary())], names=["id", "t", "fp"])
+        sizes, prefixes = [], []
+        for text in b.column(2).to_pylist():
+            x = _shingle_set(text, width)
+            last = np.isin(x, late, assume_unique=True)
+            x = np.concatenate([x[~last], x[last]])
+            n = len(x)
+            sizes.append(n)
+            prefixes.append((x[: n - math.ceil(least * n - 1e-6) + 1 + n // SHARE] if n else np.zeros(1, np.uint64)).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary())], names=["id", "t", "n", "prefix"])
+
+
+def _prefix_keys(batches):
+    for b in batches:
+        if b.num_rows:
+            prefixes = b.column(2).to_pylist()
+            at = np.repeat(np.arange(b.num_rows), [len(x) // 8 for x in prefixes])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(prefixes), np.int64)), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], names=["key", "id", "n"])
 
 
-def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, slack: float = 0.05, block: int = TEXTS) -> DataFrame:
+def _met(batches, least: float, most: int):
+    """Pairs (kind 0) of buckets up to ``most`` rows; rows of larger ones (kind 1) with the smallest id there."""
+    for t in common.keyed_groups(batches, "key"):
+        key, ids, n = (t[c].to_numpy() for c in ("key", "id", "n"))
+        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        size = np.repeat(np.diff(edge), np.diff(edge))
+        small = np.flatnonzero((size > 1) & (size <= most))
+        k, i, m = key[small], ids[small], n[small]
+        for d in range(1, min(most, len(small))):
+            ok = (k[d:] == k[:-d]) & (i[d:] != i[:-d]) & (np.minimum(m[d:], m[:-d]) >= least * np.maximum(m[d:], m[:-d]) - 1e-6)
+            at = np.flatnonzero(ok)
+            if len(at):
+                x, y = i[at], i[at + d]
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at), np.int32)), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.minimum(m[at], m[at + d]))], names=["kind", "src", "dst", "n"])
+        hot = np.flatnonzero(size > most)
+        if len(hot):
+            hub = np.repeat(np.minimum.reduceat(ids, edge[:-1]), np.diff(edge))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(hot), np.int32)), pa.array(ids[hot]), pa.array(hub[hot]), pa.array(n[hot])], names=["kind", "src", "dst", "n"])
+
+
+def _candidates(prefixes: DataFrame, least: float, most: int) -> DataFrame:
+    """``(src, dst)`` whose components hold every pair of ``least`` or more.
+
+    Such a pair shares at least k = 1 + (size of the smaller) div SHARE shingles of its
+    prefixes.  Those in small buckets are counted a pair; those in large ones are at
+    most as many as either text has there.  Texts that could share k in large buckets
+    alone link to the smallest id of each.
+    """
+    keys = prefixes.mapInArrow(_prefix_keys, "key long, id long, n int")
+    met = common.cut(keys.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_met, least=least, most=most), "kind int, src long, dst long, n int"))
+    hot = met.filter("kind = 1")
+    load = common.cut(hot.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("load"), F.first("n").alias("n")))
+    pairs = met.filter("kind = 0").groupBy("src", "dst").agg(F.count("*").alias("shared"), F.min("n").alias("n"))
+    for end in ("src", "dst"):
+        pairs = pairs.join(load.select(F.col("id").alias(end), F.col("load").alias(f"{end}_load")), end, "left")
+    enough = pairs.filter(F.col("shared") + F.least(*[F.coalesce(f"{end}_load", F.lit(0)) for end in ("src", "dst")]) >= F.expr(f"1 + n div {SHARE}"))
+    # the smallest partner of a text of n shingles has ceil(least * n)
+    many = load.filter(F.col("load") >= F.expr(f"1 + cast(ceil({least} * n - 1e-6) as int) div {SHARE}")).select(F.col("id").alias("src"))
+    stars = hot.select("src", "dst").distinct().join(many, "src").filter("src <> dst")
+    return enough.select("src", "dst").union(stars.select("src", "dst")).distinct()
+
+
+def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, block: int = TEXTS, most: int = 16) -> DataFrame:
     """``(rep, t, component)``, a row a distinct text: smallest id and xxhash64 of the text, and its group.
 
     Groups hold texts whose ``width``-word shingle sets have a Jaccard similarity of
-    ``least`` or more, and whatever such links reach.  A long fingerprint (many
-    seeds) estimates the angle between shingle sets; ring segments as wide as log2
-    of the row count minus 2 (16 at least) serve as keys, as many as a pair at
-    ``least`` needs to share one with probability 0.95.  Chains from such a segment
-    must stay within the proportional budget of ``least - slack``.  Within each
-    component of these links all pairs are then decided exactly on whole texts.
+    ``least`` or more, and whatever such links reach.  Candidates come from an exact
+    prefix filter: in one order of all shingles, two such sets share some of their
+    first n - ceil(least * n) + k shingles, k at least.  Within each component of the
+    candidates all pairs are then decided exactly on whole texts.  Texts without words
+    are one group.
     """
     text = F.col(f"`{text_col}`").cast("string")
     src = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
-    agree = 1 - math.acos(2 * least / (1 + least)) / math.pi
-    bits = max(16, math.ceil(math.log2(max(2, src.count()))) - 2)
-    segments = math.ceil(math.log(20) / agree**bits)
-    words = math.ceil(segments * bits / 64)
-    low = least - slack
-    tau = math.ceil(segments * bits * math.acos(2 * low / (1 + low)) / math.pi)
-    rows = common.cut(src.mapInArrow(partial(_keyed, width=width, words=words), "id long, t long, fp binary").groupBy("fp", "t").agg(F.min("id").alias("rep")))
+    late = _common(src, width)
+    firsts = src.mapInArrow(partial(_prefixed, width=width, least=least, late=late), "id long, t long, n int, prefix binary")
+    rows = common.cut(firsts.groupBy("t").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
     named = rows.filter("rep is not null")
-    classes = named.groupBy("fp").agg(F.min("rep").alias("id"))
-    inside = named.join(classes, "fp").filter("rep <> id").select(F.col("rep").alias("src"), F.col("id").alias("dst"))
-    edges = common.cut(links(classes.select("id", "fp"), tau, segments, bits, False).union(inside).distinct())
+    edges = common.cut(_candidates(named.select(F.col("rep").alias("id"), "n", "prefix"), least, most))
     comp = common.connected(_exact_links(src, named, edges, width, least, block))
-    return rows.join(comp, F.col("rep") == F.col("node"), "left").select("rep", "t", F.coalesce("component", "rep").alias("component"))
+    return rows.select("rep", "t").join(comp, F.col("rep") == F.col("node"), "left").select("rep", "t", F.coalesce("component", "rep").alias("component"))
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -132,6 +132,44 @@ def test_thinned_candidates_lose_no_link(spark, block):
     assert [got.get(i, i) for i in range(len(texts))] == want
 
 
+def similar(docs, texts, **options):
+    out = simhash.similar_texts(docs([(i, x, "en", "s") for i, x in enumerate(texts)]), **options).collect()
+    got = {r["rep"]: r["component"] for r in out}
+    return [got[i] for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_large_group_around_the_threshold(docs, block):
+    texts = [*variants(1, 60, (5, 6, 7)), *variants(2, 30, (4, 5))]
+    want = brute_groups(texts)
+    assert 3 < len(set(want)) < 60
+    assert similar(docs, texts, block=block) == want
+
+
+def test_repeated_lines_count_once(docs):
+    """Shingle sets decide: how often a line or a word repeats does not matter."""
+    body, line = " ".join(f"b{i}" for i in range(500)), " ".join(f"r{i}" for i in range(14))
+    texts = [f"{body} {line}", f"{body} " + " ".join([line] * 300), "na " * 400 + "end of it", "na " * 300 + "end of it", "na " * 400 + " ".join(f"z{i}" for i in range(40))]
+    want = brute_groups(texts)
+    assert want == [0, 0, 2, 2, 4]
+    assert similar(docs, texts) == want
+
+
+def test_every_pair_at_the_threshold_is_found(docs):
+    """Isolated pairs of a similarity of 0.80 to 0.82, and hot shingles in large buckets."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for p in range(60):
+        words = [f"p{p}w{i}" for i in range(int(rng.integers(100, 400)))]
+        cut = int((len(words) - 4) * 0.8 + 1) + 4
+        texts += [" ".join(words), " ".join(words[:cut])]
+    same = [f"c{i}" for i in range(60)]
+    texts += [" ".join([*same, *(f"h{k}x{i}" for i in range(1 + k % 9))]) for k in range(40)]
+    want = brute_groups(texts)
+    assert want[:120] == [i - i % 2 for i in range(120)]
+    assert similar(docs, texts) == want
+
+
 def test_empty(docs):
     assert simhash.near_duplicates(docs([])).count() == 0
     assert simhash.deduplicated(docs([])).count() == 0
