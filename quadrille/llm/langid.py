@@ -127,13 +127,14 @@ def languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 def _kept(batches, model: Model, at: int, to: int):
     for b in common.slices(batches, at):
-        got = [model.predict(t)[0] for t in b.column(at).to_pylist()]
-        b = b.set_column(to, b.schema.field(to), pa.array(got, b.schema.field(to).type))
-        yield b.filter(pa.array([g != "und" for g in got]))
+        texts = b.column(at).to_pylist()
+        if model.langs:
+            b = b.set_column(to, b.schema.field(to), pa.array([model.predict(t)[0] for t in texts], b.schema.field(to).type))
+        yield b.filter(pa.array([bool(t and _LETTERS.search(t.lower())) for t in texts]))
 
 
 def identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Model | None = None) -> DataFrame:
-    """The rows whose language is found, ``lang`` set to it; rows without any letter go."""
+    """The rows with a letter, ``lang`` set to the language found; without a labelled row to learn from it stays as it is."""
     model = train(df, id_col, text_col, lang_col) if model is None else model
     return df.mapInArrow(partial(_kept, model=model, at=df.columns.index(text_col), to=df.columns.index(lang_col)), df.schema)
 

@@ -77,3 +77,9 @@ def test_members_are_retried_by_offset(tmp_path):
 def test_shared_folder_is_the_one_named(spark, tmp_path):
     spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}") if spark.conf.isModifiable("spark.checkpoint.dir") else None
     assert common.shared_dir(spark)
+
+
+def test_texts_stay_without_a_labelled_row(docs):
+    rows = [(i, t, None, "s") for i, t in enumerate(["some words", "more words", "12 34", None])]
+    got = {r["doc_id"]: r["lang"] for r in langid.identified(docs(rows)).collect()}
+    assert got == {0: None, 1: None}
