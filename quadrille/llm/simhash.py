@@ -1,16 +1,21 @@
 """Operator 1: SimHash near-duplicate groups with pigeonring filtering.
 
-A text becomes lower-cased words, ``shingle``-word shingles and, for each seed,
-a 64-bit fingerprint (bit set where more than half of the shingle hashes have
-it).  Two fingerprints link when at most ``tau`` bits differ.
-
-Candidates come from *tables*: the fingerprint ring is cut into ``m`` equal
-segments; by the pigeonring principle every linked pair has a start segment
-from which all chains of 1..m consecutive segments stay within the
-proportional budget ``l * tau / m``.  A table fixes the start and the bits that
-such a chain forces to be equal; rows that share a table key are compared
-chain by chain, and only survivors get the full Hamming check.  Each bucket
-gives a spanning forest of its links, never all pairs.
+A fingerprint is a ring of bits cut into equal segments.  By the pigeonring
+principle two rings that differ in few bits have a start segment from which all
+chains of consecutive segments stay within budgets proportional to their length.
+Rows meet in *tables*, one a start: a table's key is what such a chain forces to
+be equal, and beside the key a row carries the following bits of the ring, so a
+chain is checked segment by segment without fetching anything.  Only pairs whose
+chains hold go on.  A key row has a constant size (key, chain, id).
+
+``near_duplicates``: ``shingle``-word shingles with repeats, 64 bits (set where
+more than half of the shingle hashes have it); the tables are complete for ``tau``
+differing bits and the chain covers the whole ring, so it is the full Hamming check.
+
+``similar_texts``: 4,020 bits of the set of five-word shingles; 201 tables of
+20-bit keys, chains of 96 further bits.  Keys, chains and budgets are the same at
+every table size.  The components of these candidates are then decided exactly,
+all pairs, by the Jaccard similarity of whole texts.
 
 Defined results: null or wordless texts have fingerprint zero and link like any
 other; repeated rows and ties share a class; rows whose id is null get the
@@ -32,15 +37,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .shingles import shingle_sets, sketches
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _WORD = re.compile(common.WORD)
-#: Largest bucket compared in one piece; larger ones are dealt out as pairs of blocks.
+#: Largest bucket held in one piece; the rows of larger ones are dealt out as pairs of blocks.
 BLOCK = 4096
-#: The same for whole texts.
-TEXTS = 1024
-#: Texts sampled for frequent shingles, how many of those, and the share of a prefix that must agree.
-SAMPLE, COMMON, SHARE = 4000, 20_000, 20
+#: Texts, and shingles of texts, compared in one piece.
+TEXTS, SHINGLES = 1024, 4 << 20
 _PIECE = 1 << 16
 
 
@@ -55,40 +59,28 @@ def _hashes(text: str, width: int) -> Iterator[np.ndarray]:
         yield np.array([digest(join(words[i : i + width]).encode("utf-8", "surrogatepass"), 42) for i in range(a, min(n, a + _PIECE))], dtype=np.uint64)
 
 
-def _spread(h: np.ndarray, seed: int) -> np.ndarray:
-    """Independent 64-bit hash for each seed (seed 0: the hash itself)."""
-    if not seed:
-        return h
-    with np.errstate(over="ignore"):
-        z = h + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
-def fingerprint(text: str | None, width: int = 3, words: int = 1) -> bytes:
-    """``8 * words`` bytes, most significant bit first."""
-    ones, total = np.zeros((words, 64), np.int64), 0
+def fingerprint(text: str | None, width: int = 3) -> bytes:
+    """8 bytes, most significant bit first."""
+    ones, total = np.zeros(64, np.int64), 0
     for h in _hashes(text or "", width):
         total += len(h)
-        for seed in range(words):
-            bits = np.unpackbits(_spread(h, seed).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            # column sums as bytes cannot overflow within 255 rows
-            for a in range(0, len(bits), 255 * 64):
-                part = bits[a : a + 255 * 64]
-                ones[seed] += part.sum(axis=0, dtype=np.uint32) if len(part) > 255 else part.sum(axis=0, dtype=np.uint8)
-    return np.packbits(2 * ones > total, axis=1).tobytes() if total else bytes(8 * words)
+        bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        # column sums as bytes cannot overflow within 255 rows
+        for a in range(0, len(bits), 255 * 64):
+            part = bits[a : a + 255 * 64]
+            ones += part.sum(axis=0, dtype=np.uint32) if len(part) > 255 else part.sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > total).tobytes() if total else bytes(8)
 
 
-def _fingerprints(batches, width: int, words: int):
+def _fingerprints(batches, width: int):
     for b in common.slices(batches, 1):
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t, width, words) for t in b.column(1).to_pylist()], pa.binary())], names=["id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t, width) for t in b.column(1).to_pylist()], pa.binary())], names=["id", "fp"])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, words: int = 1) -> DataFrame:
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """``(id, fp)``: one binary fingerprint a row."""
     src = common.only(df, id=F.col(f"`{id_col}`").cast("long"), text=F.col(f"`{text_col}`").cast("string"))
-    return src.mapInArrow(partial(_fingerprints, width=width, words=words), "id long, fp binary")
+    return src.mapInArrow(partial(_fingerprints, width=width), "id long, fp binary")
 
 
 # ---- candidate tables -------------------------------------------------------------------------
@@ -113,12 +105,14 @@ def exact_tables(tau: int, segments: int = 8) -> list[tuple[int, int, tuple[int,
     return [(s, free, (cuts[p], cuts[p + 1])) for s in range(segments) for p in range(parts)]
 
 
+_KEYS = "key long, chain long, id long"
+
+
 def _exact_keys(batches, tables, size: int):
     for b in batches:
         if not b.num_rows:
             continue
         fp = np.frombuffer(b"".join(b.column(1).to_pylist()), ">u8").astype(np.uint64)
-        ids = np.asarray(b.column(0))
         for n, (start, free, (lo, hi)) in enumerate(tables):
             ring = _rotate(fp, start * size)
             key = ring >> np.uint64(64 - free * size)
@@ -126,157 +120,174 @@ def _exact_keys(batches, tables, size: int):
                 key = (key << np.uint64(hi - lo)) | ((ring >> np.uint64(64 - hi)) & np.uint64((1 << (hi - lo)) - 1))
             with np.errstate(over="ignore"):
                 key = key * np.uint64(len(tables)) + np.uint64(n)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(fp), start, np.int32)), pa.array(ids), b.column(1)], names=["key", "start", "id", "fp"])
-
-
-def _segment_keys(batches, segments: int, bits: int):
-    for b in batches:
-        if not b.num_rows:
-            continue
-        flat = np.unpackbits(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1)
-        weights = (1 << np.arange(bits - 1, -1, -1)).astype(np.int64)
-        for s in range(segments):
-            key = flat[:, s * bits : (s + 1) * bits].astype(np.int64) @ weights * segments + s
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(b.num_rows, s, np.int32)), b.column(0), b.column(1)], names=["key", "start", "id", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ring.view(np.int64)), b.column(0)], names=["key", "chain", "id"])
 
 
 def _rotate(x: np.ndarray, k: int) -> np.ndarray:
     return (x << np.uint64(k)) | (x >> np.uint64(64 - k)) if k else x
 
 
-class _Links:
-    """Chain-by-chain comparison of fingerprint blocks."""
-
-    def __init__(self, tau: int, segments: int, bits: int):
-        self.tau, self.segments, self.bits = tau, segments, bits
-        self.budget = [length * tau // segments for length in range(segments + 1)]
-
-    def rows(self, fp: list[bytes], start: int) -> np.ndarray:
-        """(row, segment) integers, first the start segment."""
-        raw = np.frombuffer(b"".join(fp), np.uint8).reshape(len(fp), -1)
-        if self.bits % 8:
-            flat = np.unpackbits(raw, axis=1)[:, : self.segments * self.bits].reshape(len(fp), self.segments, self.bits)
-            seg = flat.astype(np.uint64) @ (np.uint64(1) << np.arange(self.bits - 1, -1, -1, dtype=np.uint64))
-        else:
-            seg = raw[:, : self.segments * self.bits // 8].reshape(len(fp), self.segments, self.bits // 8)
-            seg = sum(seg[:, :, i].astype(np.uint64) << np.uint64(8 * (self.bits // 8 - 1 - i)) for i in range(self.bits // 8))
-        return np.roll(seg, -start, axis=1)
-
-    def pairs(self, a: np.ndarray, b: np.ndarray, same: bool):
-        """Linked (i, j, distance) of two blocks, in tiles of bounded memory."""
-        tile = max(1, (1 << 20) // max(1, len(b)))
-        for lo in range(0, len(a), tile):
-            i, j = np.meshgrid(np.arange(lo, min(len(a), lo + tile)), np.arange(len(b)), indexing="ij")
-            i, j = i.ravel(), j.ravel()
-            if same:
-                keep = i < j
-                i, j = i[keep], j[keep]
-            d = np.zeros(len(i), np.int64)
-            for length in range(1, self.segments + 1):
-                d += np.bitwise_count(a[i, length - 1] ^ b[j, length - 1])
-                keep = d <= self.budget[length]
-                if not keep.all():
-                    i, j, d = i[keep], j[keep], d[keep]
-                if not len(i):
-                    break
-            if len(i):
-                yield i, j, d
-
-
-def _forest(ids_a, ids_b, found) -> list[tuple[int, int]]:
-    """Spanning forest of the found links, closest pairs first."""
-    parent: dict[int, int] = {}
-
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    links = [(int(d), int(ids_a[i]), int(ids_b[j])) for ii, jj, dd in found for i, j, d in zip(ii, jj, dd)]
-    for _, x, y in sorted(links):
-        rx, ry = root(x), root(y)
-        if rx != ry:
-            parent[max(rx, ry)] = min(rx, ry)
-            out.append((min(x, y), max(x, y)))
-    return out
+class _Chains:
+    """Pairs of key rows whose chains of consecutive bytes stay within ``budget`` (one entry a length).
 
+    The chain is the ``low`` lowest bits of the key, then the 64 bits of ``chain``;
+    rows of one bucket agree in the rest of the key.
+    """
 
-_OUT = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("start", pa.int32()), ("src", pa.int64()), ("dst", pa.int64()), ("fp", pa.binary())])
-_OUT_SQL = "kind int, key long, start int, src long, dst long, fp binary"
-
-
-def _in_bucket(batches, tau: int, segments: int, bits: int, block: int):
-    """Links of each bucket; rows of buckets over ``block`` come out unchanged (kind 1)."""
-    link = _Links(tau, segments, bits)
-    for t in common.keyed_groups(batches, "key"):
-        key, ids = t["key"].to_numpy(), t["id"].to_numpy()
-        fps, starts = t["fp"], t["start"].to_numpy()
-        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-        edges: list[tuple[int, int]] = []
-        for a, b in zip(edge, edge[1:]):
-            if b - a < 2:
-                continue
-            if b - a > block:
-                n = int(b - a)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(key[a:b]), pa.array(starts[a:b]), pa.array(ids[a:b]), pa.array(ids[a:b]), fps.slice(a, n).combine_chunks()], schema=_OUT)
-                continue
-            rows = link.rows(fps.slice(a, b - a).to_pylist(), int(starts[a]))
-            edges += _forest(ids[a:b], ids[a:b], link.pairs(rows, rows, True))
-        if edges:
-            e = np.array(sorted(set(edges)), np.int64)
-            n = len(e)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, np.int32)), pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy()), pa.nulls(n, pa.binary())], schema=_OUT)
-
-
-def _block_pair(t: pa.Table, tau: int, segments: int, bits: int) -> pa.Table:
-    link, side = _Links(tau, segments, bits), t["side"].to_numpy()
-    ids, fps, start = t["id"].to_numpy(), t["fp"].to_pylist(), t["start"][0].as_py()
-    at = [np.flatnonzero(side == s) for s in (0, 1)]
-    a, b = (link.rows([fps[i] for i in x], start) if len(x) else None for x in at)
-    if b is None:
-        edges = _forest(ids[at[0]], ids[at[0]], link.pairs(a, a, True))
-    else:
-        edges = [] if a is None else _forest(ids[at[0]], ids[at[1]], link.pairs(a, b, False))
-    e = np.array(edges, np.int64).reshape(-1, 2)
-    return pa.table({"src": e[:, 0].copy(), "dst": e[:, 1].copy()})
-
-
-def links(classes: DataFrame, tau: int, segments: int, bits: int, exact: bool, block: int = BLOCK) -> DataFrame:
-    """Spanning links ``(src, dst)`` between rows ``(id, fp)`` with distinct fingerprints."""
-    if exact:
-        keys = classes.mapInArrow(partial(_exact_keys, tables=exact_tables(tau, segments), size=bits), "key long, start int, id long, fp binary")
-    else:
-        keys = classes.mapInArrow(partial(_segment_keys, segments=segments, bits=bits), "key long, start int, id long, fp binary")
-    found = common.cut(keys.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_in_bucket, tau=tau, segments=segments, bits=bits, block=block), _OUT_SQL))
+    def __init__(self, low: int, budget: tuple[int, ...]):
+        self.low, self.budget = low, budget
+
+    def bucket(self, key: np.ndarray) -> np.ndarray:
+        return key >> self.low if self.low else key
+
+    def holds(self, key, chain, i, j) -> np.ndarray:
+        """Positions among the pairs (i, j) whose chains stay within the budgets; the longest is tested first."""
+        mask = np.uint64((1 << self.low) - 1)
+        x, y = (key[i] ^ key[j]).view(np.uint64) & mask, (chain[i] ^ chain[j]).view(np.uint64)
+        at = np.flatnonzero(np.bitwise_count(x).astype(np.int16) + np.bitwise_count(y) <= self.budget[-1])
+        x, y = x[at], y[at]
+        for n, most in enumerate(self.budget[:-1], 1):
+            if not len(at):
+                break
+            d = np.bitwise_count(x >> np.uint64(max(0, self.low - 8 * n))).astype(np.int16)
+            if 8 * n > self.low:
+                d = d + np.bitwise_count(y >> np.uint64(64 - (8 * n - self.low)))
+            ok = d <= most
+            if not ok.all():
+                at, x, y = at[ok], x[ok], y[ok]
+        return at
+
+
+def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the sets of each pair in place; every label stays the smallest position of its set."""
+    while len(i):
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            root = label[label]
+            if (root == label).all():
+                break
+            label[:] = root
+
+
+def _inside(link: _Chains, key, chain) -> np.ndarray:
+    """Component labels of rows sorted by key; memory is linear in the rows."""
+    bucket = link.bucket(key)
+    edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+    size = np.diff(edge)
+    end, label = np.repeat(edge[1:], size), np.arange(len(key))
+    rows = np.flatnonzero(np.repeat(size, size) > 1)
+    step = 1
+    while True:
+        rows = rows[rows + step < end[rows]]
+        if not len(rows):
+            return label
+        i = rows[label[rows] != label[rows + step]]
+        i = i[link.holds(key, chain, i, i + step)]
+        _unite(label, i, i + step)
+        step += 1
+
+
+def _across(link: _Chains, key, chain, first: int) -> np.ndarray:
+    """Component labels of the links between rows before and from ``first`` on, all of one bucket."""
+    label = np.arange(len(key))
+    right = np.arange(first, len(key))
+    for i in range(first):
+        j = right[label[right] != label[i]]
+        j = j[link.holds(key, chain, np.full(len(j), i), j)]
+        _unite(label, np.full(len(j), i), j)
+    return label
+
+
+def _met(batches, link: _Chains, block: int):
+    """Links of each bucket, a star a component (kind 0); rows of buckets over ``block`` pass through one by one (kind 1)."""
+
+    def links_of(key, chain, ids):
+        label = _inside(link, key, chain)
+        at = np.flatnonzero(label != np.arange(len(label)))
+        return out(0, np.zeros(len(at), np.int64), ids[label[at]], ids[at])
+
+    def out(kind, key, src, dst):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(src), pa.array(dst)], names=["kind", "key", "src", "dst"])
+
+    held = [np.empty(0, np.int64)] * 3
+    hot = None
+    for b in batches:
+        rows = [b.column(c).to_numpy() for c in range(3)]
+        if hot is not None:
+            same = link.bucket(rows[0]) == hot
+            if same.any():
+                yield out(1, *(r[same] for r in rows))
+                rows = [r[~same] for r in rows]
+        if not len(rows[0]):
+            continue
+        hot = None
+        rows = [np.concatenate(pair) for pair in zip(held, rows)]
+        bucket = link.bucket(rows[0])
+        last = int(np.searchsorted(bucket, bucket[-1]))
+        if last:
+            yield links_of(*(r[:last] for r in rows))
+        held = [r[last:] for r in rows]
+        if len(held[0]) > block:
+            hot = bucket[-1]
+            yield out(1, *held)
+            held = [r[:0] for r in held]
+    if len(held[0]):
+        yield links_of(*held)
+
+
+def _block_pair(t: pa.Table, link: _Chains) -> pa.Table:
+    side = t["side"].to_numpy()
+    by = np.argsort(side, kind="stable")
+    key, chain, ids = (t[c].to_numpy()[by] for c in ("key", "src", "dst"))
+    first = int((side == 0).sum())
+    label = _inside(link, key, chain) if first == len(by) else _across(link, key, chain, first)
+    at = np.flatnonzero(label != np.arange(len(label)))
+    return pa.table({"src": ids[label[at]], "dst": ids[at]})
+
+
+def links(keys: DataFrame, low: int, budget: tuple[int, ...], block: int = BLOCK) -> DataFrame:
+    """Links ``(src, dst)`` between key rows, as stars a component and bucket: they join what the pairs within budget join."""
+    link = _Chains(low, budget)
+    bucket = F.shiftright("key", low)
+    found = common.cut(keys.repartition(bucket).sortWithinPartitions("key").mapInArrow(partial(_met, link=link, block=block), "kind int, key long, src long, dst long"))
     plain = found.filter("kind = 0").select("src", "dst")
-    hot = found.filter("kind = 1").select("key", "start", F.col("src").alias("id"), "fp")
-    count = hot.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
-    own = hot.join(count, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    # of a hot bucket src is the chain, dst the id
+    hot = found.filter("kind = 1").select(bucket.alias("bucket"), "key", "src", "dst")
+    count = hot.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    own = hot.join(count, "bucket").withColumn("own", F.pmod(F.xxhash64("dst"), F.col("n")).cast("int"))
     # every pair of blocks of a hot bucket is one group of at most about two blocks
     paired = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
-        "key", "start", "id", "fp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
+        "bucket", "key", "src", "dst", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
 
     def compare(t: pa.Table) -> pa.Table:
-        return _block_pair(t, tau, segments, bits)
+        return _block_pair(t, link)
 
-    far = paired.groupBy("key", "i", "j").applyInArrow(compare, "src long, dst long")
+    far = paired.groupBy("bucket", "i", "j").applyInArrow(compare, "src long, dst long")
     return plain.union(far)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, words: int = 1, tau: int = 3, segments: int = 8, bits: int = 8, exact: bool = True, block: int = BLOCK) -> DataFrame:
+def exact_links(classes: DataFrame, tau: int = 3, segments: int = 8, block: int = BLOCK) -> DataFrame:
+    """Links between 64-bit fingerprints ``(id, fp)`` of ``tau`` or fewer differing bits."""
+    if segments != 8:
+        raise ValueError("chains are checked byte by byte")
+    keys = classes.mapInArrow(partial(_exact_keys, tables=exact_tables(tau, segments), size=64 // segments), _KEYS)
+    return links(keys, 0, tuple(n * tau // segments for n in range(1, segments + 1)), block)
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, tau: int = 3, block: int = BLOCK) -> DataFrame:
     """``(id, fp, component)`` for every row of ``df``."""
-    fp = common.cut(fingerprints(df, id_col, text_col, width, words))
+    fp = common.cut(fingerprints(df, id_col, text_col, width))
     classes = fp.groupBy("fp").agg(F.min("id").alias("id"))
-    comp = common.connected(links(classes.filter("id is not null").select("id", "fp"), tau, segments, bits, exact, block))
+    comp = common.connected(exact_links(classes.filter("id is not null").select("id", "fp"), tau, block=block))
     named = classes.join(comp, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component"))
     return fp.join(named, "fp")
 
 
-
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: three-word shingles, 64 bits, at most 3 differing bits."""
     out = near_duplicates(common.table(spark, sf_dir, "documents"))
@@ -285,10 +296,32 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- five-word shingles at a Jaccard similarity ----------------------------------------------
 
+#: Bits of the transform, of a key, of a chain behind it; keys a ring; share of differing bits that chains may have.
+SIZE, KEY, CHAIN, TABLES = 4096, 20, 96, 201
+RATE = 0.19
+_RING = KEY * TABLES
+_BUDGET = tuple(math.floor((KEY + 8 * n) * RATE) for n in range(1, CHAIN // 8 + 1))
 
-def _shingle_set(text: str | None, width: int) -> np.ndarray:
-    parts = list(_hashes(text or "", width))
-    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+
+def _ring_keys(batches):
+    """Key rows of every fingerprint (id, fp): segment number and 20 bits, then 96 bits of chain in the key's rest and ``chain``."""
+    at = np.arange(TABLES) * KEY
+    window = (at // 8)[:, None] + np.arange(16)
+    shift = (at % 8).astype(np.uint64)
+    table = (np.arange(TABLES, dtype=np.uint64) << np.uint64(KEY + 32))[None]
+    for b in batches:
+        for lo in range(0, b.num_rows, 1024):
+            part = b.slice(lo, 1024)
+            bits = np.unpackbits(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1)[:, :_RING]
+            ring = np.packbits(np.concatenate((bits, bits[:, : 8 * 20]), axis=1), axis=1)
+            two = np.ascontiguousarray(ring[:, window]).view(">u8").astype(np.uint64)
+            high = (two[:, :, 0] << shift) | np.where(shift > 0, two[:, :, 1] >> ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+            low = two[:, :, 1] << shift
+            # 20 bits of key and 32 of chain, then 12 and 52 of chain
+            key = table | (high >> np.uint64(12))
+            chain = (high << np.uint64(52)) | (low >> np.uint64(12))
+            ids = np.repeat(part.column(0).to_numpy(), TABLES)
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(chain.ravel().view(np.int64)), pa.array(ids)], names=["key", "chain", "id"])
 
 
 def _alike(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -343,7 +376,7 @@ def _compared(batches, width: int, least: float):
         src, dst = [], []
         for a, b in zip(edge.tolist(), edge[1:].tolist()):
             if b - a > 1:
-                found = _alike([_shingle_set(x.as_py(), width) for x in texts.slice(a, b - a)], least)
+                found = _alike(shingle_sets(texts.slice(a, b - a).to_pylist(), width), least)
                 src += [ids[a + i] for i, _ in found]
                 dst += [ids[a + j] for _, j in found]
         if src:
@@ -353,111 +386,42 @@ def _compared(batches, width: int, least: float):
 def _exact_links(src: DataFrame, named: DataFrame, edges: DataFrame, width: int, least: float, block: int) -> DataFrame:
     """All links of ``least`` within the components of the candidate ``edges``, as spanning forests.
 
-    Members of a component of more than ``block`` texts meet as pairs of blocks.
+    Members of a component of more than ``block`` texts, or more than ``SHINGLES``
+    shingles, meet as pairs of blocks.
     """
     comp = common.cut(common.connected(edges).select(F.col("node").alias("id"), F.col("component").alias("c")))
-    large = comp.groupBy("c").agg(F.ceil(F.count("*") / block).cast("int").alias("n")).filter("n > 1")
-    ends = comp.join(named.select(F.col("rep").alias("id"), "t"), "id").join(F.broadcast(large), "c", "left")
+    size = F.col("n") if "n" in named.columns else F.lit(0)
+    ends = comp.join(named.select(F.col("rep").alias("id"), "t", size.alias("size")), "id")
+    large = ends.groupBy("c").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("size") / SHINGLES)).cast("int").alias("n")).filter("n > 1")
+    ends = ends.drop("size").join(large, "c", "left")
     held = src.join(ends, ["id", "t"]).dropDuplicates(["id"]).withColumn("n", F.coalesce("n", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
     dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(F.xxhash64("c", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "id", "text")
     return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(partial(_compared, width=width, least=least), "src long, dst long")
 
 
-def _sampled(batches, width: int):
-    for b in common.slices(batches, 0):
-        got = [_shingle_set(t, width) for t in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64))], names=["h"])
-
-
-def _common(src: DataFrame, width: int) -> np.ndarray:
-    """Frequent shingles of a sample of texts; they only come last in the order of shingles, which any order may do."""
-    parts = max(1, src.count() // SAMPLE)
-    some = src.filter(F.pmod("t", F.lit(parts)) == 0).dropDuplicates(["t"]).select("text")
-    top = some.mapInArrow(partial(_sampled, width=width), "h long").groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).collect()
-    return np.array(sorted(r["h"] for r in top), np.int64).view(np.uint64)
+def _rings(batches, width: int):
+    for b in common.slices(batches, 2):
+        sets = shingle_sets(b.column(2).to_pylist(), width)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array(sketches(sets, SIZE), pa.binary())], names=["id", "t", "n", "fp"])
 
 
-def _prefixed(batches, width: int, least: float, late: np.ndarray):
-    late = np.sort(late)
-    for b in common.slices(batches, 2):
-        sizes, prefixes = [], []
-        for text in b.column(2).to_pylist():
-            x = _shingle_set(text, width)
-            last = np.isin(x, late, assume_unique=True)
-            x = np.concatenate([x[~last], x[last]])
-            n = len(x)
-            sizes.append(n)
-            prefixes.append((x[: n - math.ceil(least * n - 1e-6) + 1 + n // SHARE] if n else np.zeros(1, np.uint64)).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary())], names=["id", "t", "n", "prefix"])
-
-
-def _prefix_keys(batches):
-    for b in batches:
-        if b.num_rows:
-            prefixes = b.column(2).to_pylist()
-            at = np.repeat(np.arange(b.num_rows), [len(x) // 8 for x in prefixes])
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(prefixes), np.int64)), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], names=["key", "id", "n"])
-
-
-def _met(batches, least: float, most: int):
-    """Pairs (kind 0) of buckets up to ``most`` rows; rows of larger ones (kind 1) with the smallest id there."""
-    for t in common.keyed_groups(batches, "key"):
-        key, ids, n = (t[c].to_numpy() for c in ("key", "id", "n"))
-        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-        size = np.repeat(np.diff(edge), np.diff(edge))
-        small = np.flatnonzero((size > 1) & (size <= most))
-        k, i, m = key[small], ids[small], n[small]
-        for d in range(1, min(most, len(small))):
-            ok = (k[d:] == k[:-d]) & (i[d:] != i[:-d]) & (np.minimum(m[d:], m[:-d]) >= least * np.maximum(m[d:], m[:-d]) - 1e-6)
-            at = np.flatnonzero(ok)
-            if len(at):
-                x, y = i[at], i[at + d]
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at), np.int32)), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.minimum(m[at], m[at + d]))], names=["kind", "src", "dst", "n"])
-        hot = np.flatnonzero(size > most)
-        if len(hot):
-            hub = np.repeat(np.minimum.reduceat(ids, edge[:-1]), np.diff(edge))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(hot), np.int32)), pa.array(ids[hot]), pa.array(hub[hot]), pa.array(n[hot])], names=["kind", "src", "dst", "n"])
-
-
-def _candidates(prefixes: DataFrame, least: float, most: int) -> DataFrame:
-    """``(src, dst)`` whose components hold every pair of ``least`` or more.
-
-    Such a pair shares at least k = 1 + (size of the smaller) div SHARE shingles of its
-    prefixes.  Those in small buckets are counted a pair; those in large ones are at
-    most as many as either text has there.  Texts that could share k in large buckets
-    alone link to the smallest id of each.
-    """
-    keys = prefixes.mapInArrow(_prefix_keys, "key long, id long, n int")
-    met = common.cut(keys.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_met, least=least, most=most), "kind int, src long, dst long, n int"))
-    hot = met.filter("kind = 1")
-    load = common.cut(hot.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("load"), F.first("n").alias("n")))
-    pairs = met.filter("kind = 0").groupBy("src", "dst").agg(F.count("*").alias("shared"), F.min("n").alias("n"))
-    for end in ("src", "dst"):
-        pairs = pairs.join(load.select(F.col("id").alias(end), F.col("load").alias(f"{end}_load")), end, "left")
-    enough = pairs.filter(F.col("shared") + F.least(*[F.coalesce(f"{end}_load", F.lit(0)) for end in ("src", "dst")]) >= F.expr(f"1 + n div {SHARE}"))
-    # the smallest partner of a text of n shingles has ceil(least * n)
-    many = load.filter(F.col("load") >= F.expr(f"1 + cast(ceil({least} * n - 1e-6) as int) div {SHARE}")).select(F.col("id").alias("src"))
-    stars = hot.select("src", "dst").distinct().join(many, "src").filter("src <> dst")
-    return enough.select("src", "dst").union(stars.select("src", "dst")).distinct()
-
-
-def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, block: int = TEXTS, most: int = 16) -> DataFrame:
-    """``(rep, t, component)``, a row a distinct text: smallest id and xxhash64 of the text, and its group.
+def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, block: int = TEXTS) -> DataFrame:
+    """``(rep, t, component)``, a row a distinct text: smallest id and digest of the text, and its group.
 
     Groups hold texts whose ``width``-word shingle sets have a Jaccard similarity of
-    ``least`` or more, and whatever such links reach.  Candidates come from an exact
-    prefix filter: in one order of all shingles, two such sets share some of their
-    first n - ceil(least * n) + k shingles, k at least.  Within each component of the
-    candidates all pairs are then decided exactly on whole texts.  Texts without words
-    are one group.
+    ``least`` or more, and whatever such links reach.  Candidates are pairs of
+    fingerprints with an equal key and chains within budget; within each component of
+    the candidates all pairs are then decided exactly on whole texts.  A pair of just
+    0.8 is a candidate with a probability above 0.99 (201 keys), more similar ones almost
+    surely; keys, chains and budgets never depend on the table.  Null texts and texts
+    without words are one group.
     """
     text = F.col(f"`{text_col}`").cast("string")
-    src = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
-    late = _common(src, width)
-    firsts = src.mapInArrow(partial(_prefixed, width=width, least=least, late=late), "id long, t long, n int, prefix binary")
-    rows = common.cut(firsts.groupBy("t").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    src = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(b"")).alias("t"), text.alias("text"))
+    rings = src.mapInArrow(partial(_rings, width=width), "id long, t binary, n long, fp binary")
+    rows = common.cut(rings.groupBy("t").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp")))
     named = rows.filter("rep is not null")
-    edges = common.cut(_candidates(named.select(F.col("rep").alias("id"), "n", "prefix"), least, most))
+    edges = common.cut(links(named.select("rep", "fp").mapInArrow(_ring_keys, _KEYS), 32, _BUDGET).distinct())
     comp = common.connected(_exact_links(src, named, edges, width, least, block))
     return rows.select("rep", "t").join(comp, F.col("rep") == F.col("node"), "left").select("rep", "t", F.coalesce("component", "rep").alias("component"))
 
@@ -465,6 +429,7 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``df`` that stand for their group: smallest id, one row an id (a text found with null ids only keeps one row)."""
     keep = similar_texts(df, id_col, text_col, **options).filter("rep is null or rep = component").select("rep", F.col("t").alias("kept"))
-    rows = df.withColumns({"_id": F.col(f"`{id_col}`").cast("long"), "_t": F.xxhash64(F.col(f"`{text_col}`").cast("string"))})
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = df.withColumns({"_id": F.col(f"`{id_col}`").cast("long"), "_t": F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(b""))})
     out = rows.join(keep, (F.col("_t") == F.col("kept")) & F.col("_id").eqNullSafe(F.col("rep"))).dropDuplicates(["_id", "_t"])
     return out.select(*[F.col(f"`{c}`") for c in df.columns])

@@ -1,11 +1,12 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quadrille.llm import common, simhash
+from quadrille.llm import common, shingles, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -59,7 +60,7 @@ def test_hot_buckets_lose_no_link(spark, block):
         fps.add(f)
     items = list(enumerate(sorted(fps)))
     df = spark.createDataFrame([(i, bytearray(f.to_bytes(8, "big"))) for i, f in items], "id long, fp binary")
-    got = {r["node"]: r["component"] for r in common.connected(simhash.links(df, 3, 8, 8, True, block)).collect()}
+    got = {r["node"]: r["component"] for r in common.connected(simhash.exact_links(df, 3, block=block)).collect()}
     want = brute_components(items, 3)
     assert {i: got.get(i, i) for i, _ in items} == want
 
@@ -170,6 +171,41 @@ def test_every_pair_at_the_threshold_is_found(docs):
     assert similar(docs, texts) == want
 
 
+def test_keys_do_not_depend_on_the_table():
+    """A text has the same key rows alone and among others, so a pair links at any table size."""
+    texts = [f"text {i} " + " ".join(f"w{i * j % 97}" for j in range(60)) for i in range(700)] + [None, "", "a b"]
+
+    def keys(some):
+        fps = shingles.sketches(shingles.shingle_sets(some, 5), simhash.SIZE)
+        out = list(simhash._ring_keys([pa.RecordBatch.from_arrays([pa.array(range(len(some)), pa.int64()), pa.array(fps, pa.binary())], names=["id", "fp"])]))
+        return np.concatenate([np.column_stack([c.to_numpy() for c in b.columns[:2]]) for b in out]).reshape(len(some), simhash.TABLES, 2)
+
+    every = keys(texts)
+    for i in (0, 5, 350, 699, 700, 701, 702):
+        assert (keys(texts[i : i + 1])[0] == every[i]).all()
+    # a key row is 20 + 96 consecutive bits of the ring
+    fp = np.unpackbits(np.frombuffer(shingles.sketches(shingles.shingle_sets(texts[:1], 5), simhash.SIZE)[0], np.uint8))[: simhash._RING]
+    ring = "".join(map(str, fp.tolist())) * 2
+    for s in range(simhash.TABLES):
+        key, chain = (int(x) for x in every[0, s].view(np.uint64))
+        assert key >> 52 == s
+        assert f"{key & (1 << 52) - 1:052b}{chain:064b}" == ring[20 * s : 20 * s + 116]
+
+
+def test_shingle_sets_agree_with_brute_force():
+    texts = ["", None, "one", "One  two\tthree", "a b c d e f a b c d e f", "x" * 3000 + " y z w v " + "x" * 3000, "é ö ü ß 中 文 " * 5, " lead and trail "]
+    texts += [" ".join(f"w{i % 7}" for i in range(k)) for k in range(3, 40)]
+    sets = shingles.shingle_sets(texts, 5)
+    seen = {}
+    for text, got in zip(texts, sets):
+        words = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+        want = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+        assert len(got) == len(want) and (np.diff(got.view(np.int64).astype(object)) != 0).all()
+        assert set(got.tolist()) == {int(shingles.shingle_sets([" ".join(s)], 5)[0][0]) for s in want}
+        for s in want:
+            assert seen.setdefault(int(shingles.shingle_sets([" ".join(s)], 5)[0][0]), s) == s
+
+
 def test_empty(docs):
     assert simhash.near_duplicates(docs([])).count() == 0
     assert simhash.deduplicated(docs([])).count() == 0
