@@ -2,11 +2,12 @@
 
 Base spans are the contract's patterns.  On top of them a conditional random
 field labels every token that holds a digit or an at sign (other tokens are
-observed as plain text).  Neighbouring tokens share chain potentials; repeated
-tokens, and tokens with the same digits, share skip potentials with their
-previous occurrence anywhere in the document, so loopy sum-product message
-passing carries a label from one mention to the others.  Tokens inside base
-spans are observed; confident labels elsewhere become further spans.
+observed as plain text).  Neighbouring tokens share chain potentials; all mentions
+of a token, and all tokens with the same digits, share skip potentials with one hub
+of the document, so any two mentions are two steps apart, however many lie between.
+Loopy sum-product message passing runs in each document until its messages stand
+still (at most 100 rounds and one more a node), whatever shares its batch.  Tokens
+inside base spans are observed; confident labels elsewhere become further spans.
 
 Weights are fitted by pseudo-likelihood on a bounded sample of texts, labelled
 by the base patterns: ``TRAIN_DOCS`` texts of at most ``TRAIN_CHARS`` characters
@@ -111,7 +112,11 @@ class Field:
 
 @dataclass
 class Graph:
-    """Nodes of several documents with observed labels (-1: open), chain and skip edges."""
+    """Nodes of several documents with observed labels (-1: open), chain and skip edges.
+
+    Tokens come first, then the hubs of repeated tokens, which have no features.
+    ``pairs`` joins each mention with the one before it, for fitting.
+    """
 
     doc: list[int]
     span: list[tuple[int, int]]
@@ -119,15 +124,16 @@ class Graph:
     seen: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
+    pairs: np.ndarray
 
 
 def graph(texts: list[str], bases: list[list[tuple[int, int, int]]]) -> Graph:
-    doc, span, x, seen, chain, skip = [], [], [], [], [], []
+    doc, span, x, seen, chain, mentions = [], [], [], [], [], {}
     for number, (text, base) in enumerate(zip(texts, bases)):
         if not _SOME.search(text):
             continue
         marks = sorted((a, z, kind) for kind, a, z in base)
-        at, end, before = 0, -1, {}
+        at, end = 0, -1
         for m in _NODE.finditer(text):
             a, z = m.span()
             while at < len(marks) and marks[at][1] <= a:
@@ -142,12 +148,17 @@ def graph(texts: list[str], bases: list[list[tuple[int, int, int]]]) -> Graph:
             end = z
             same = m[0].strip(".,;:!?\"'#$%&*|").lower()
             digits = "".join(c for c in same if "0" <= c <= "9")
-            for key in {("t", same), *([("d", digits)] if len(digits) > 3 else [])}:
-                if key in before and before[key] != here:
-                    skip.append((before[key], here))
-                before[key] = here
-    two = lambda e: np.array(sorted(set(e)), np.int64).reshape(-1, 2)
-    return Graph(doc, span, np.array(x, float).reshape(-1, N_FEATURES), np.array(seen, np.int64), two(chain), two(skip))
+            mentions.setdefault((number, digits if len(digits) > 3 else f"={same}"), []).append(here)
+    skip, pairs = [], []
+    for (number, _), nodes in mentions.items():
+        if len(nodes) > 1:
+            skip += [(node, len(doc)) for node in nodes]
+            pairs += zip(nodes, nodes[1:])
+            doc.append(number)
+    hubs = len(doc) - len(span)
+    two = lambda e: np.array(e, np.int64).reshape(-1, 2)
+    features = np.concatenate((np.array(x, float).reshape(-1, N_FEATURES), np.zeros((hubs, N_FEATURES))))
+    return Graph(doc, span, features, np.array(seen + [-1] * hubs, np.int64), two(chain), two(skip), two(pairs))
 
 
 def _normal(logits: np.ndarray) -> np.ndarray:
@@ -161,30 +172,32 @@ def fit(texts: list[str], steps: int = 300, rate: float = 1.0, decay: float = 1e
     g = graph(texts, [base_spans(t) for t in texts])
     w = Field(np.zeros((_LABELS, N_FEATURES)), np.zeros((_LABELS, _LABELS)), np.zeros(_LABELS))
     w.unary[0, 0] = 2.0
-    if not len(g.x):
+    n = len(g.span)
+    if not n:
         return w
-    y = np.where(g.seen < 0, 0, g.seen)
+    x, y = g.x[:n], np.maximum(g.seen[:n], 0)
     one = np.eye(_LABELS)
-    n = len(y)
     left, right, skip = np.zeros((n, _LABELS)), np.zeros((n, _LABELS)), np.zeros((n, _LABELS))
     np.add.at(left, g.chain[:, 1], one[y[g.chain[:, 0]]])
     np.add.at(right, g.chain[:, 0], one[y[g.chain[:, 1]]])
-    np.add.at(skip, g.skip[:, 0], one[y[g.skip[:, 1]]])
-    np.add.at(skip, g.skip[:, 1], one[y[g.skip[:, 0]]])
+    np.add.at(skip, g.pairs[:, 0], one[y[g.pairs[:, 1]]])
+    np.add.at(skip, g.pairs[:, 1], one[y[g.pairs[:, 0]]])
     for _ in range(steps):
-        p = _normal(g.x @ w.unary.T + left @ w.chain + right @ w.chain.T + skip * w.skip)
+        p = _normal(x @ w.unary.T + left @ w.chain + right @ w.chain.T + skip * w.skip)
         miss = (one[y] - p) / n
-        w.unary += rate * (miss.T @ g.x - decay * w.unary)
+        w.unary += rate * (miss.T @ x - decay * w.unary)
         w.chain += rate * (left.T @ miss + miss.T @ right - decay * w.chain)
         w.skip += rate * ((skip * miss).sum(axis=0) - decay * w.skip)
-    # a repeated mention speaks for its label, never against it
-    w.skip = np.maximum(w.skip, 0.5)
+    # a repeated mention speaks for its label, never against it; from mention to mention it is two steps, over the hub
+    w.skip = 2 * np.maximum(w.skip, 0.5)
     return w
 
 
-def beliefs(g: Graph, w: Field, rounds: int = 12) -> np.ndarray:
-    """Loopy sum-product, all messages at once, with damping; observed nodes are fixed."""
-    n = len(g.x)
+def beliefs(g: Graph, w: Field, rounds: int | None = None) -> np.ndarray:
+    """Loopy sum-product, all messages of a document at once, with damping; observed nodes are fixed.
+
+    A document stops when none of its messages moves by 1e-4, or after ``rounds`` (100 and its nodes).
+    """
     unary = g.x @ w.unary.T
     known = g.seen >= 0
     unary[known] = -30.0
@@ -192,22 +205,28 @@ def beliefs(g: Graph, w: Field, rounds: int = 12) -> np.ndarray:
     edges = np.concatenate((g.chain, g.skip))
     if not len(edges):
         return _normal(unary)
+    doc = np.array(g.doc)
+    most = np.bincount(doc) + 100 if rounds is None else np.full(doc.max() + 1, rounds)
     pot = np.concatenate((np.broadcast_to(w.chain, (len(g.chain), _LABELS, _LABELS)), np.broadcast_to(np.diag(w.skip), (len(g.skip), _LABELS, _LABELS))))
     src, dst = np.concatenate((edges[:, 0], edges[:, 1])), np.concatenate((edges[:, 1], edges[:, 0]))
     pot = np.concatenate((pot, pot.transpose(0, 2, 1)))
     half = len(edges)
     back = np.concatenate((np.arange(half) + half, np.arange(half)))
     msg = np.zeros((2 * half, _LABELS))
-    for _ in range(rounds):
+    at, turn = np.arange(2 * half), 0
+    while len(at):
+        turn += 1
         total = unary.copy()
-        np.add.at(total, dst, msg)
-        inner = (total[src] - msg[back])[:, :, None] + pot
+        np.add.at(total, dst[at], msg[at])
+        inner = (total[src[at]] - msg[back[at]])[:, :, None] + pot[at]
         top = inner.max(axis=1)
         new = top + np.log(np.exp(inner - top[:, None, :]).sum(axis=1))
         new -= new.max(axis=1, keepdims=True)
-        if np.abs(new - msg).max() < 1e-4:
-            break
-        msg = 0.5 * msg + 0.5 * new
+        moved = np.zeros(len(most))
+        np.maximum.at(moved, doc[src[at]], np.abs(new - msg[at]).max(axis=1))
+        msg[at] = 0.5 * msg[at] + 0.5 * new
+        going = (moved >= 1e-4) & (turn < most)
+        at = at[going[doc[src[at]]]]
     total = unary
     np.add.at(total, dst, msg)
     return _normal(total)
@@ -222,6 +241,7 @@ def all_spans(texts: list[str], w: Field, sure: float = 0.9) -> list[tuple[list,
         p = beliefs(g, w)
         label = p.argmax(axis=1)
         label[(p.max(axis=1) < sure) | (g.seen >= 0)] = 0
+        label[len(g.span) :] = 0
         joined = {tuple(e) for e in g.chain.tolist()}
         for i in np.flatnonzero(label).tolist():
             text, (a, z), kind = texts[g.doc[i]], g.span[i], int(label[i]) - 1

@@ -92,6 +92,21 @@ def test_a_label_spreads_to_repeated_mentions():
     assert base == spans == []
 
 
+def test_a_label_reaches_a_hundred_mentions():
+    w = pii.fit([f"call +1 (2{i}4) 555-7{i}13 now or write a{i}@b.com from 10.0.{i}.1 total {i}3 items" for i in range(10)])
+    text = "reach +1 (555) 555-9876 today. " + " ".join(f"word{'x' * (k % 5)} 555-9876 again" for k in range(100))
+    (base, spans), = pii.all_spans([text], w)
+    assert len(base) == 1 and sum(text[a:z] == "555-9876" for _, a, z in spans) == 100
+
+
+def test_spans_do_not_depend_on_the_batch():
+    w = pii.fit([f"call +1 (2{i}4) 555-7{i}13 now or write a{i}@b.com from 10.0.{i}.1 total {i}3 items" for i in range(10)])
+    rng = random.Random(8)
+    parts = ["555-9876", "+1 (555) 555-9876", "12", "a@b.cc", "mail", "1.2.3.4", "1.2.3.999", "x", "4111 1111 1111 1111", "9876", "."]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    assert pii.all_spans(texts, w) == [pii.all_spans([t], w)[0] for t in texts]
+
+
 def test_tables(docs, odd):
     rows = [*odd, (60, "a@b.cc and 1.2.3.4", "en", "s"), (61, "token = \"0123456789abcdef01\"", "en", "s")]
     found = {r["id"]: r for r in pii.pii_spans(docs(rows)).collect()}
