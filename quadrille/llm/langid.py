@@ -2,34 +2,40 @@
 
 Known words score by their per-language log frequency.  A word never seen in
 training scores by its longest known order of character n-grams (4 down to 1).
+Every distinct word is scored once; a text is a sum of rows of one score table.
 
 The classifier is fitted on a bounded sample of labelled rows: those whose
-crc32(id as text) mod 5 is not 0, at most ``PER_LANGUAGE`` rows a language (the
-``LANGUAGES`` most frequent ones) and ``TRAIN_DOCS`` in all, smallest hash first, texts up to ``TRAIN_CHARS``
-characters.  Every row is predicted from its whole text.
-
-Defined results: null texts and texts without a letter are ``und`` with score 0;
-so is everything if no labelled row exists; ties go to the smaller language
-name; repeated rows are predicted each; a null id is not held out; an empty table
-gives an empty result; extra columns are ignored.
+crc32(id as text) mod 5 is not 0, about ``PER_LANGUAGE`` rows a language and, by
+equal shares, ``TRAIN_DOCS`` in all but at least one a language, smallest hash first,
+the first ``TRAIN_CHARS`` characters of each.  Every language with a labelled row can be
+predicted; every row is predicted from its whole text.
+
+Defined results: null texts and texts without a letter (Unicode categories L) are
+``und`` with score 0; so is everything if no labelled row exists; ties go to the
+smaller language name; repeated rows are predicted each; a null id is not held
+out; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter, defaultdict
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-PER_LANGUAGE, TRAIN_DOCS, TRAIN_CHARS, LANGUAGES = 600, 6000, 100_000, 1000
+PER_LANGUAGE, TRAIN_DOCS, TRAIN_CHARS = 600, 6000, 20_000
 ORDERS = (4, 3, 2, 1)
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Number signs that count as word characters without being letters or digits, such as fractions and Roman numerals.
+_SIGNS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_LETTERS = re.compile(rf"[^\W\d_{_SIGNS}]+")
+#: Unseen words whose scores are kept between pieces of text.
 _CACHE = 200_000
 
 
@@ -38,6 +44,19 @@ def _grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
+class _Places(dict):
+    """Row of each word in the score table; a word asked for first is scored then."""
+
+    def __init__(self, model: Model):
+        super().__init__(model.place)
+        self.model, self.rows = model, []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = at = len(self)
+        self.rows.append(self.model.backoff(word))
+        return at
+
+
 class Model:
     """Log frequencies by language for words and for each n-gram order."""
 
@@ -54,45 +73,59 @@ class Model:
                 for g in _grams(word, n):
                     grams[n][g] += counts
         # a word seen once says no more than its n-grams
-        self.words = self._logs({w: c for w, c in words.items() if c.sum() > 1})
+        self.place, self.words = self._logs({w: c for w, c in words.items() if c.sum() > 1})
         self.grams = {n: self._logs(g) for n, g in grams.items()}
-        self.cache: dict[str, np.ndarray] = {}
+        self._open: tuple[_Places, np.ndarray] | None = None
 
-    def _logs(self, counts: dict) -> dict:
-        if not counts:
-            return {}
-        m = np.array(list(counts.values()))
-        logs = np.log((m + 0.5) / (m.sum(axis=0) + 0.5 * len(m)))
-        return dict(zip(counts, logs.astype(np.float32)))
+    def _logs(self, counts: dict) -> tuple[dict, np.ndarray]:
+        m = np.array(list(counts.values())).reshape(len(counts), len(self.langs))
+        logs = np.log((m + 0.5) / (m.sum(axis=0) + 0.5 * max(1, len(m))))
+        return dict(zip(counts, range(len(counts)))), logs.astype(np.float32)
 
     def __getstate__(self):
-        return {**self.__dict__, "cache": {}}
-
-    def word(self, word: str) -> np.ndarray:
-        got = self.words.get(word)
-        if got is None:
-            got = self.cache.get(word)
-            if got is None:
-                if len(self.cache) >= _CACHE:
-                    self.cache.clear()
-                got = self.cache[word] = self._backoff(word)
-        return got
-
-    def _backoff(self, word: str) -> np.ndarray:
+        return {**self.__dict__, "_open": None}
+
+    def backoff(self, word: str) -> np.ndarray:
         for n in ORDERS:
-            known = [v for v in map(self.grams[n].get, _grams(word, n)) if v is not None]
+            place, rows = self.grams[n]
+            known = [at for at in map(place.get, _grams(word, n)) if at is not None]
             if known:
-                return np.mean(known, axis=0)
+                return rows[known].mean(axis=0)
         return np.zeros(len(self.langs), np.float32)
 
+    def predict_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """For each text the number of its language (-1: und) and the score."""
+        lang, score = np.full(len(texts), -1), np.zeros(len(texts))
+        if not self.langs:
+            return lang, score
+        places, table = self._open or (_Places(self), self.words)
+        size, found = [], []
+        for text in texts:
+            words = _LETTERS.findall(text.lower()) if text else []
+            found.append(np.fromiter(map(places.__getitem__, words), np.int32, len(words)))
+            size.append(len(words))
+        if places.rows:
+            table = np.concatenate((table, np.array(places.rows, np.float32)))
+            places.rows = []
+        # a full table starts again from the trained words
+        self._open = (places, table) if len(table) < len(self.words) + _CACHE else None
+        size = np.array(size)
+        some = np.flatnonzero(size)
+        if len(some):
+            # pieces of a long text are summed apart, so that memory stays bounded
+            total = np.array([sum(table[x[a : a + 65536]].sum(axis=0, dtype=np.float64) for a in range(0, len(x), 65536)) for x in (found[i] for i in some)])
+            best = total.argmax(axis=1)
+            lang[some] = best
+            score[some] = 1 / np.exp(total - total[np.arange(len(some)), best][:, None]).sum(axis=1)
+        return lang, score
+
+    def names(self, lang: np.ndarray) -> list[str]:
+        known = [*self.langs, "und"]
+        return [known[i] for i in lang.tolist()]
+
     def predict(self, text: str | None) -> tuple[str, float]:
-        count = Counter(_LETTERS.findall(text.lower())) if text and self.langs else None
-        if not count:
-            return "und", 0.0
-        word = self.word
-        total = np.array([word(w) for w in count]).T @ np.fromiter(count.values(), np.float64, len(count))
-        best = int(np.argmax(total))
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+        lang, score = self.predict_all([text])
+        return self.names(lang)[0], float(score[0])
 
 
 def _held(id_col: str):
@@ -101,21 +134,22 @@ def _held(id_col: str):
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, docs: int = TRAIN_DOCS) -> Model:
     src = common.only(df, id=id_col, text=F.col(f"`{text_col}`").cast("string"), lang=F.col(f"`{lang_col}`").cast("string"))
-    some = src.filter(~_held("id") & F.col("lang").isNotNull() & (F.length("text") <= TRAIN_CHARS)).withColumn("h", F.shiftrightunsigned(F.xxhash64("id", "text"), 1))
-    # counts combine before the shuffle; a hash threshold then leaves about as many rows a language as are wanted, without their texts
-    sizes = some.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    unit = F.col("h") / F.lit(2.0**63)
-    few = some.select("lang", "h").join(sizes, "lang").filter(unit * F.col("n") <= per_language)
-    ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= per_language)
-    chosen = ranked.orderBy("r", "lang").limit(docs).groupBy("lang").agg(F.max("h").alias("last"))
-    rows = some.join(chosen, "lang").filter(F.col("h") <= F.col("last")).select("lang", "text", "h").distinct().collect()
+    some = src.filter(~_held("id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    h = F.shiftrightunsigned(F.xxhash64("id", F.substring("text", 1, 200)), 1)
+    some = some.select("lang", F.substring("text", 1, TRAIN_CHARS).alias("text"), h.alias("h"))
+    # counts combine before the shuffle; the smallest hash of each language is always taken, and a hash threshold
+    # leaves about as many rows as are wanted, so no language is ever ranked whole
+    sizes = common.cut(some.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")))
+    share = min(per_language, max(1, docs // max(1, sizes.count())))
+    taken = some.join(sizes, "lang").filter((F.col("h") / F.lit(2.0**63) * F.col("n") <= share) | (F.col("h") == F.col("least")))
+    rows = taken.select("lang", "text", "h").distinct().collect()
     return Model([(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["text"]))])
 
 
 def _predicted(batches, model: Model):
     for b in common.slices(batches, 2):
-        got = [model.predict(t) for t in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got]), pa.array([g[1] for g in got])], names=["id", "held_out", "lang_pred", "score"])
+        lang, score = model.predict_all(b.column(2).to_pylist())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(model.names(lang), pa.string()), pa.array(score)], names=["id", "held_out", "lang_pred", "score"])
 
 
 def languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Model | None = None) -> DataFrame:
@@ -129,8 +163,11 @@ def _kept(batches, model: Model, at: int, to: int):
     for b in common.slices(batches, at):
         texts = b.column(at).to_pylist()
         if model.langs:
-            b = b.set_column(to, b.schema.field(to), pa.array([model.predict(t)[0] for t in texts], b.schema.field(to).type))
-        yield b.filter(pa.array([bool(t and _LETTERS.search(t.lower())) for t in texts]))
+            lang, _ = model.predict_all(texts)
+            b = b.set_column(to, b.schema.field(to), pa.array(model.names(lang), b.schema.field(to).type))
+            yield b.filter(pa.array(lang >= 0))
+        else:
+            yield b.filter(pa.array([bool(t and _LETTERS.search(t)) for t in texts]))
 
 
 def identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Model | None = None) -> DataFrame:

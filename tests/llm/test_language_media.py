@@ -21,6 +21,30 @@ def test_words_then_shorter_grams():
     assert all(0 <= m.predict(t)[1] <= 1 for t in ("a", "zzz", "é", "the la"))
 
 
+def test_number_signs_are_no_letters():
+    m = langid.Model([("en", "the house the house"), ("fr", "la maison la maison")])
+    assert all(m.predict(t) == ("und", 0.0) for t in ("½", "²", "Ⅷ", "①② 3", "_ ٣", "\u0301"))
+    assert all(m.predict(t)[0] != "und" for t in ("½ a", "ª", "中", "一", "x²"))
+    for c in map(chr, range(0x3000)):
+        assert bool(langid._LETTERS.search(c)) == c.isalpha()
+
+
+def test_every_labelled_language_is_learnt(docs):
+    long = "zum beispiel " * 30_000
+    rows = [(i, f"word{i} " * 3, f"l{i:04d}", "s") for i in range(1500) if zlib.crc32(str(i).encode()) % 5] + [(2001, long, "de", "s")]
+    m = langid.train(docs(rows), docs=100)
+    assert len(m.langs) == len(rows) and m.predict("beispiel")[0] == "de"
+
+
+def test_batches_and_full_caches_change_nothing(monkeypatch):
+    monkeypatch.setattr(langid, "_CACHE", 5)
+    m = langid.Model([("en", "the house the house"), ("fr", "la maison la maison")])
+    texts = [None, "", "12", *(f"the maison h{'o' * k}use ma{chr(97 + k)}" for k in range(20)), "the house " * 100_000]
+    lang, score = m.predict_all(texts)
+    one = [m.predict(t) for t in texts]
+    assert [a for a, _ in one] == m.names(lang) and [b for _, b in one] == score.tolist()
+
+
 def test_odd_rows(docs, odd):
     got = langid.languages(docs(odd)).collect()
     assert len(got) == len(odd) and {r["lang_pred"] for r in got if r["id"] in (1, 2, 3, 4)} == {"und"}
