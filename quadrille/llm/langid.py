@@ -19,7 +19,6 @@ out; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter, defaultdict
 from functools import partial
 
@@ -32,28 +31,35 @@ from . import common
 
 PER_LANGUAGE, TRAIN_DOCS, TRAIN_CHARS = 600, 6000, 20_000
 ORDERS = (4, 3, 2, 1)
-#: Number signs that count as word characters without being letters or digits, such as fractions and Roman numerals.
-_SIGNS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_LETTERS = re.compile(rf"[^\W\d_{_SIGNS}]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 #: Unseen words whose scores are kept between pieces of text.
 _CACHE = 200_000
 
 
+def _words(text: str) -> list[str]:
+    """Lower-cased runs of letters."""
+    words = _LETTERS.findall(text.lower())
+    # the pattern also takes number signs such as fractions and Roman numerals
+    if not "".join(words).isalpha():
+        words = [part for word in words for part in (word if word.isalpha() else "".join(c if c.isalpha() else " " for c in word)).split()]
+    return words
+
+
 def _grams(word: str, n: int) -> list[str]:
     w = f"^{word}$" if n > 1 else word
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
 class _Places(dict):
-    """Row of each word in the score table; a word asked for first is scored then."""
+    """Row of each word in the score table; words asked for first are listed in ``new``."""
 
-    def __init__(self, model: Model):
-        super().__init__(model.place)
-        self.model, self.rows = model, []
+    def __init__(self, place: dict[str, int]):
+        super().__init__(place)
+        self.new: list[str] = []
 
     def __missing__(self, word: str) -> int:
         self[word] = at = len(self)
-        self.rows.append(self.model.backoff(word))
+        self.new.append(word)
         return at
 
 
@@ -65,7 +71,7 @@ class Model:
         at = {lang: i for i, lang in enumerate(self.langs)}
         words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(self.langs)))
         for lang, text in texts:
-            for word, n in Counter(_LETTERS.findall(text.lower())).items():
+            for word, n in Counter(_words(text)).items():
                 words[word][at[lang]] += n
         grams = {n: defaultdict(lambda: np.zeros(len(self.langs))) for n in ORDERS}
         for word, counts in words.items():
@@ -74,7 +80,12 @@ class Model:
                     grams[n][g] += counts
         # a word seen once says no more than its n-grams
         self.place, self.words = self._logs({w: c for w, c in words.items() if c.sum() > 1})
-        self.grams = {n: self._logs(g) for n, g in grams.items()}
+        # n-grams of each order have their own length, so one table holds all
+        tables = [self._logs(grams[n]) for n in ORDERS]
+        self.gram: dict[str, int] = {}
+        for place, _ in tables:
+            self.gram.update(zip(place, range(len(self.gram), len(self.gram) + len(place))))
+        self.grams = np.concatenate([rows for _, rows in tables])
         self._open: tuple[_Places, np.ndarray] | None = None
 
     def _logs(self, counts: dict) -> tuple[dict, np.ndarray]:
@@ -85,28 +96,39 @@ class Model:
     def __getstate__(self):
         return {**self.__dict__, "_open": None}
 
-    def backoff(self, word: str) -> np.ndarray:
-        for n in ORDERS:
-            place, rows = self.grams[n]
-            known = [at for at in map(place.get, _grams(word, n)) if at is not None]
-            if known:
-                return rows[known].mean(axis=0)
-        return np.zeros(len(self.langs), np.float32)
+    def backoff(self, words: list[str]) -> np.ndarray:
+        """Scores of unseen words: the mean of the known n-grams of the longest order that has any."""
+        get, found, count = self.gram.get, [], []
+        for word in words:
+            marked = f"^{word}$"
+            for n in ORDERS:
+                w = marked if n > 1 else word
+                known = [at for at in [get(w[i : i + n]) for i in range(len(w) - n + 1)] if at is not None]
+                if known:
+                    break
+            found += known
+            count.append(len(known))
+        count = np.array(count)
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        some = count > 0
+        if some.any():
+            out[some] = np.add.reduceat(self.grams[found].astype(np.float64), (np.cumsum(count) - count)[some]) / count[some][:, None]
+        return out
 
     def predict_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """For each text the number of its language (-1: und) and the score."""
         lang, score = np.full(len(texts), -1), np.zeros(len(texts))
         if not self.langs:
             return lang, score
-        places, table = self._open or (_Places(self), self.words)
+        places, table = self._open or (_Places(self.place), self.words)
         size, found = [], []
         for text in texts:
-            words = _LETTERS.findall(text.lower()) if text else []
+            words = _words(text) if text else []
             found.append(np.fromiter(map(places.__getitem__, words), np.int32, len(words)))
             size.append(len(words))
-        if places.rows:
-            table = np.concatenate((table, np.array(places.rows, np.float32)))
-            places.rows = []
+        if places.new:
+            table = np.concatenate((table, self.backoff(places.new)))
+            places.new = []
         # a full table starts again from the trained words
         self._open = (places, table) if len(table) < len(self.words) + _CACHE else None
         size = np.array(size)
@@ -167,7 +189,7 @@ def _kept(batches, model: Model, at: int, to: int):
             b = b.set_column(to, b.schema.field(to), pa.array(model.names(lang), b.schema.field(to).type))
             yield b.filter(pa.array(lang >= 0))
         else:
-            yield b.filter(pa.array([bool(t and _LETTERS.search(t)) for t in texts]))
+            yield b.filter(pa.array([bool(t and _words(t)) for t in texts]))
 
 
 def identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Model | None = None) -> DataFrame:
