@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut, shared_dir
 from ..operators.graph import connected
 
-__all__ = ["WORD", "connected", "cut", "keyed_groups", "only", "shared_dir", "slices", "table"]
+__all__ = ["WORD", "connected", "cut", "keyed_groups", "only", "scratch", "shared_dir", "slices", "table"]
 
 #: Characters that separate words (ASCII white space), as used by every word-based operator here.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,6 +27,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one for files that results are read from while the session lasts; it goes when the driver ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    fs, path = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(path)
+
+    def clear() -> None:
+        with contextlib.suppress(OSError):
+            fs.delete_dir(path)
+
+    atexit.register(clear)
+    return folder
+
+
 def only(df: DataFrame, **columns) -> DataFrame:
     """Project to fresh names first, so extra or clashing input columns never matter."""
     return df.select(*[F.col(f"`{c}`").alias(new) if isinstance(c, str) else c.alias(new) for new, c in columns.items()])

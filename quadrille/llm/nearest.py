@@ -1,15 +1,21 @@
 """Operator 4: approximate nearest neighbours by randomly rotated one-bit codes.
 
 Every vector is centred, rotated by a seeded random orthogonal matrix and kept as
-one sign bit a component with correction scalars: its centred length, its inner
-product with the centre, and how well the bits agree with it.  For a query these
-give an unbiased estimate of the inner product and an error bound; within a block
-of vectors, all whose upper bound reaches the k-th best lower bound are reranked
-with exact double-precision inner products.
-
-Equal vectors are stored once with their smallest k + 1 ids, so a hot vector costs
-one row.  Queries and vectors meet as blocks: every block of queries is compared
-with every block of vectors, and each pair of blocks returns at most k rows a query.
+one packed sign bit a component with correction scalars: its centred length, its
+inner product with the centre, and how well the bits agree with it.  For a query
+these give an unbiased estimate of the inner product and an error bound: a table of
+256 sums a byte of code turns packed bits into the estimate, they are never
+unpacked.  Vectors whose upper bound reaches the k-th best score so far, or the k-th
+best lower bound of their block, are reranked with exact double-precision inner
+products.
+
+Codes and vectors are written once, a file each a block, to the shared folder; only
+queries are shuffled.  A task holds a group of queries, streams the code files past
+them and opens a block's vectors only if one of them is to be reranked.  Equal
+vectors are stored once with their smallest k + 1 ids, so a hot vector costs one row.
+
+All bounds are computed in double precision on vectors scaled by one power of two, so
+any finite vector is safe; a bound that is no number counts as reached.
 
 Defined results: vectors that are null, zero, of a length other than the most
 frequent one, or hold null or non-finite components take no part; ties in score go
@@ -19,18 +25,21 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import io
 import math
+import uuid
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Vectors in a block, queries in a block.
-BLOCK, QUERIES = 16_384, 256
+#: Vectors in a block, queries in a group, queries estimated at once.
+BLOCK, QUERIES, TILE = 16_384, 512, 64
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
@@ -38,84 +47,134 @@ def rotation(dim: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def _saved(fs, path: str, **arrays) -> None:
+    """Written aside and moved, so a task that runs again leaves the same file."""
+    sink = io.BytesIO()
+    np.savez(sink, **arrays)
+    draft = f"{path}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(draft) as out:
+        out.write(sink.getbuffer())
+    fs.move(draft, path)
+
+
+def _loaded(fs, path: str):
+    with fs.open_input_stream(path) as f:
+        return np.load(io.BytesIO(f.read()))
+
+
 class Codes:
     """Packed bits and correction scalars of a block."""
 
-    def __init__(self, vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray):
+    def __init__(self, bits, norm, fit, shift):
+        self.bits, self.norm, self.fit, self.shift = bits, norm, fit, shift
+
+    @classmethod
+    def of(cls, vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> Codes:
         rest = vectors - centre
-        self.norm = np.linalg.norm(rest, axis=1)
-        unit = rest / np.where(self.norm > 0, self.norm, 1.0)[:, None] @ turn
-        self.bits = np.packbits(unit > 0, axis=1)
-        self.dim = vectors.shape[1]
+        norm = np.linalg.norm(rest, axis=1)
+        unit = rest / np.where(norm > 0, norm, 1.0)[:, None] @ turn
         # inner product of the unit vector with its own code, at most 1
-        self.fit = np.where(self.norm > 0, np.abs(unit).sum(axis=1) / math.sqrt(self.dim), 1.0)
-        self.shift = vectors @ centre
-
-    def signs(self) -> np.ndarray:
-        """The packed code as +-1, one column a vector."""
-        return np.unpackbits(self.bits, axis=1, count=self.dim).T.astype(np.float32) * 2 - 1
+        fit = np.where(norm > 0, np.abs(unit).sum(axis=1) / math.sqrt(vectors.shape[1]), 1.0)
+        return cls(np.packbits(unit > 0, axis=1), norm, fit, vectors @ centre)
 
-    def bounds(self, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray, width: float, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def bounds(self, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
         """(estimate, error bound) of the inner products, queries in rows."""
+        dim = queries.shape[1]
         rest = queries - centre
-        length = np.linalg.norm(rest, axis=1).astype(np.float32)
-        along = (rest @ turn).astype(np.float32) @ signs
-        scale = (self.norm / self.fit / math.sqrt(self.dim)).astype(np.float32)
+        turned = np.zeros((len(queries), 8 * self.bits.shape[1]))
+        turned[:, :dim] = rest @ turn
+        signs = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64) * 2 - 1
+        along = np.zeros((len(queries), len(self.bits)))
+        for p in range(self.bits.shape[1]):
+            # sums of the eight components with the signs of each byte value
+            along += (turned[:, 8 * p : 8 * p + 8] @ signs.T).take(self.bits[:, p], axis=1)
         # <o, q> = <o - c, q - c> + <o - c, c> + <c, q>
-        fixed = (self.shift - centre @ centre).astype(np.float32)
-        along *= scale
-        along += fixed
-        along += (queries @ centre).astype(np.float32)[:, None]
-        spread = np.sqrt(np.maximum(0.0, 1 - self.fit**2)) / self.fit * self.norm * width / math.sqrt(max(1, self.dim - 1))
-        return along, length[:, None] * spread.astype(np.float32)
+        along *= self.norm / self.fit / math.sqrt(dim)
+        along += self.shift - centre @ centre
+        along += (queries @ centre)[:, None]
+        spread = np.sqrt(np.maximum(0.0, 1 - self.fit**2)) / self.fit * self.norm * width / math.sqrt(max(1, dim - 1))
+        return along, np.linalg.norm(rest, axis=1)[:, None] * spread
 
 
-def _exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Row by row in one order, so equal vectors get equal scores."""
-    return (vectors * query).sum(axis=1)
+def _exact(columns: np.ndarray, pick: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Component by component in one order, so equal vectors get equal scores."""
+    score = np.zeros(len(pick))
+    for column, q in zip(columns, query):
+        score += column[pick] * q
+    return score
 
 
-def _packed(t: pa.Table) -> pa.Table:
-    values = np.asarray(pa.concat_arrays([c.flatten() for c in t["v"].chunks]), np.float64)
-    return pa.table({"block": t["block"].slice(0, 1), "n": pa.array([t.num_rows], pa.int32()), "values": pa.array([values.tobytes()], pa.binary()), "ids": pa.array([[list(x) for x in t["ids"].to_pylist()]], pa.list_(pa.list_(pa.int64())))})
+def _stored(t: pa.Table, folder: str, centre: np.ndarray, seed: int, scale: float) -> pa.Table:
+    vectors = np.asarray(pa.concat_arrays([c.flatten() for c in t["v"].chunks]), np.float64).reshape(t.num_rows, -1) / scale
+    codes = Codes.of(vectors, centre, rotation(len(centre), seed))
+    fs, path = pafs.FileSystem.from_uri(f"{folder}/{t['block'][0].as_py()}")
+    _saved(fs, f"{path}.codes", **vars(codes))
+    ids = t["ids"].combine_chunks()
+    _saved(fs, f"{path}.vectors", columns=np.ascontiguousarray(vectors.T), ids=np.asarray(ids.flatten()), edge=np.asarray(ids.offsets) - ids.offsets[0].as_py())
+    return pa.table({"block": t["block"].slice(0, 1), "n": pa.array([t.num_rows], pa.int64())})
 
 
-def _searched(batches, k: int, centre: np.ndarray, seed: int, width: float):
+def _grouped(t: pa.Table, scale: float) -> pa.Table:
+    values = np.asarray(pa.concat_arrays([c.flatten() for c in t["v"].chunks]), np.float64) / scale
+    return pa.table({"values": pa.array([values.tobytes()], pa.binary()), "ids": pa.array([t["id"].to_pylist()], pa.list_(pa.int64()))})
+
+
+class _Best:
+    """The ``k`` best of one query so far."""
+
+    def __init__(self, own: int, k: int):
+        self.own, self.k, self.held, self.least = own, k, [], -math.inf
+
+    def add(self, score: np.ndarray, pick: np.ndarray, ids: np.ndarray, edge: np.ndarray) -> None:
+        new = [(-s, other) for s, p in zip(score.tolist(), pick.tolist()) for other in ids[edge[p] : edge[p + 1]].tolist() if other != self.own]
+        self.held = sorted(self.held + new)[: self.k]
+        if len(self.held) == self.k:
+            self.least = -self.held[-1][0]
+
+
+def _searched(batches, folder: str, k: int, centre: np.ndarray, seed: int, width: float, scale: float):
     dim = len(centre)
     turn = rotation(dim, seed)
+    fs, path = pafs.FileSystem.from_uri(folder)
     for b in batches:
         for row in b.to_pylist():
-            vectors = np.frombuffer(row["values"], np.float64).reshape(-1, dim)
-            queries = np.frombuffer(row["q_values"], np.float64).reshape(-1, dim)
-            codes = Codes(vectors, centre, turn)
-            signs = codes.signs()
-            ids = row["ids"]
-            out = []
-            # an own vector may be no candidate, hence one more
-            most = min(k + 1, len(vectors))
-            for lo in range(0, len(queries), 64):
-                part = queries[lo : lo + 64]
-                estimate, error = codes.bounds(part, centre, turn, width, signs)
-                lower = estimate - error
-                least = np.partition(lower, len(vectors) - most, axis=1)[:, len(vectors) - most]
-                estimate += error
-                for i in range(len(part)):
-                    pick = np.flatnonzero(estimate[i] >= least[i])
-                    score = _exact(vectors[pick], part[i])
-                    top = np.flatnonzero(score >= np.partition(score, len(score) - most)[len(score) - most])
-                    own = row["q_ids"][lo + i]
-                    best = sorted((-s, other, own) for s, p in zip(score[top].tolist(), pick[top].tolist()) for other in ids[p] if other != own)
-                    out += best[:k]
-            if out:
-                s, other, own = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(other, pa.int64()), pa.array(-np.array(s))], names=["query_id", "vec_id", "score"])
-
-
-def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", queries=None, k: int = 20, width: float = 1.5, seed: int = 4, block: int = BLOCK) -> DataFrame:
+            queries = np.frombuffer(row["values"], np.float64).reshape(-1, dim)
+            best = [_Best(own, k) for own in row["ids"]]
+            for block in range(row["first"], row["last"]):
+                codes, vectors = Codes(**_loaded(fs, f"{path}/{block}.codes")), None
+                # an own vector may be no candidate, hence one more
+                most = min(k + 1, len(codes.bits))
+                for lo in range(0, len(queries), TILE):
+                    part = queries[lo : lo + TILE]
+                    estimate, error = codes.bounds(part, centre, turn, width)
+                    lower = np.partition(estimate - error, -most, axis=1)[:, -most]
+                    least = np.fmax(lower, [x.least for x in best[lo : lo + TILE]])
+                    reach = ~(estimate + error < least[:, None])
+                    if not reach.any():
+                        continue
+                    if vectors is None:
+                        vectors = _loaded(fs, f"{path}/{block}.vectors")
+                        columns, ids, edge = vectors["columns"], vectors["ids"], vectors["edge"]
+                        longest = np.sqrt((columns**2).sum(axis=0)).max()
+                    dense = part @ columns if reach.mean() > 0.02 else None
+                    for i, query in enumerate(part):
+                        pick, mine = np.flatnonzero(reach[i]), best[lo + i]
+                        rough = dense[i, pick] if dense is not None else query @ columns[:, pick]
+                        # the order of sums may move a rough score by far less than this
+                        slack = 1e-11 * longest * np.linalg.norm(query)
+                        floor = max(mine.least, np.partition(rough, -min(most, len(rough)))[-min(most, len(rough))]) - slack if len(rough) else 0.0
+                        pick = pick[~(rough < floor)]
+                        mine.add(_exact(columns, pick, query), pick, ids, edge)
+            found = [(x.own, other, -s * scale * scale) for x in best for s, other in x.held]
+            if found:
+                own, other, score = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(other, pa.int64()), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+
+def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", queries=None, k: int = 20, width: float = 4.0, seed: int = 4, block: int = BLOCK) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest of each query row found; ``queries`` is a predicate on the id column ``id``.
 
-    ``width`` is the error bound in standard deviations of the estimate; a true
-    neighbour is lost only if its estimate errs by more than about twice that.
+    ``width`` is the error bound in standard deviations of the estimate.
     """
     spark = df.sparkSession
     v = F.col(f"`{vector_col}`").cast("array<double>")
@@ -131,24 +190,33 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     key = [F.xxhash64("v"), F.col("v")]
     first = rows.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy("id"))).filter(F.col("r") <= k + 1)
     distinct = common.cut(first.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    count = distinct.count()
-    centre = np.array(distinct.select(*[F.avg(F.col("v")[i]) for i in range(dim)]).first(), float)
+    count, largest = distinct.agg(F.count("*"), F.max(F.array_max(F.transform("v", F.abs)))).first()
+    scale = 2.0 ** math.frexp(largest)[1]
+    centre = np.array(distinct.select(*[F.avg(F.col("v")[i] / scale) for i in range(dim)]).first(), float)
     asked = rows if queries is None else rows.filter(queries)
     n_queries = asked.count()
-    if not count or not n_queries:
+    if not n_queries:
         return empty
-
-    def pack(t: pa.Table) -> pa.Table:
-        return _packed(t)
-
-    n_blocks, q_blocks = math.ceil(count / block), math.ceil(n_queries / QUERIES)
-    shape = "block long, n int, values binary, ids array<array<long>>"
-    stored = distinct.select(F.pmod(F.xxhash64("v"), F.lit(n_blocks)).alias("block"), "v", "ids").groupBy("block").applyInArrow(pack, shape)
-    wanted = asked.select(F.pmod(F.xxhash64("id"), F.lit(q_blocks)).alias("block"), "v", F.array("id").alias("ids")).groupBy("block").applyInArrow(pack, shape)
-    # every block of queries visits every block of vectors
-    visits = wanted.select(F.col("values").alias("q_values"), F.flatten("ids").alias("q_ids"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"))
-    pairs = stored.join(visits, "block").select("values", "ids", "q_values", "q_ids").repartition(min(n_blocks * q_blocks, 4 * spark.sparkContext.defaultParallelism + n_blocks))
-    found = pairs.mapInArrow(partial(_searched, k=k, centre=centre, seed=seed, width=width), "query_id long, vec_id long, score double")
+    folder = common.scratch(spark, "nearest")
+    n_blocks, groups = math.ceil(count / block), math.ceil(n_queries / QUERIES)
+
+    def store(t: pa.Table) -> pa.Table:
+        return _stored(t, folder, centre, seed, scale)
+
+    def group(t: pa.Table) -> pa.Table:
+        return _grouped(t, scale)
+
+    # a block that no vector falls into has no file, so blocks are numbered by those that exist
+    dealt = distinct.withColumn("h", F.pmod(F.xxhash64("v"), F.lit(n_blocks)))
+    used = dealt.select("h").distinct().withColumn("block", F.row_number().over(Window.orderBy("h")) - 1)
+    written = common.cut(dealt.join(used, "h").select(F.col("block").cast("long"), "v", "ids").groupBy("block").applyInArrow(store, "block long, n long")).count()
+    # few groups of queries each search ranges of the blocks in several tasks
+    ranges = min(written, max(1, math.ceil(2 * spark.sparkContext.defaultParallelism / groups)))
+    edges = [round(i * written / ranges) for i in range(ranges + 1)]
+    parts = F.explode(F.array(*[F.struct(F.lit(a).alias("first"), F.lit(z).alias("last")) for a, z in zip(edges, edges[1:])])).alias("part")
+    wanted = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(groups)).alias("group")).applyInArrow(group, "values binary, ids array<long>")
+    tasks = wanted.select("values", "ids", parts).select("values", "ids", "part.first", "part.last").repartition(groups * ranges)
+    found = tasks.mapInArrow(partial(_searched, folder=folder, k=k, centre=centre, seed=seed, width=width, scale=scale), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
