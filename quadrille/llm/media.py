@@ -146,15 +146,17 @@ class _Reader(DataSourceReader):
         if not partition.archive:
             return
         fs, path = pafs.FileSystem.from_uri(partition.archive)
-        rows, held = [], 0
+        rows, held, handle = [], 0, []
         for key, n_bytes, offset, length, crc in self._members(fs, path, partition):
-            media, tries = self._member(fs, path, offset, length, crc)
+            media, tries = self._member(fs, path, offset, length, crc, handle)
             payload = decode(media)
             rows.append((key, n_bytes, offset, tries, media, payload))
             held += len(payload) + len(media)
             if held >= BATCH:
                 yield self._batch(rows)
                 rows, held = [], 0
+        for f in handle:
+            f.close()
         if rows:
             yield self._batch(rows)
 
@@ -172,17 +174,21 @@ class _Reader(DataSourceReader):
         a, z = np.searchsorted(offset, (partition.first, partition.end))
         return zip(*(table[c].slice(a, z - a).to_pylist() for c in ("id", "n_bytes", "offset", "length", "crc")))
 
-    def _member(self, fs, path, offset, length, crc):
-        """One member by its offset; each is tried again by itself."""
+    def _member(self, fs, path, offset, length, crc, handle=None):
+        """One member by its offset; ``handle`` keeps the archive open for all of a range, each retry opens it anew."""
+        handle = [] if handle is None else handle
         for attempt in range(1, self.retries + 2):
             try:
-                with fs.open_input_file(path) as f:
-                    f.seek(offset)
-                    media = f.read(length)
+                if not handle:
+                    handle.append(fs.open_input_file(path))
+                handle[0].seek(offset)
+                media = handle[0].read(length)
                 if len(media) != length or zlib.crc32(media) != crc:
                     raise OSError(f"member at {offset} of {path} is damaged")
                 return media, attempt
             except OSError:
+                if handle:
+                    handle.pop().close()
                 if attempt > self.retries:
                     raise
                 time.sleep(0.05 * 2**attempt)
@@ -243,6 +249,6 @@ def described(members: DataFrame) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{common.shared_dir(spark).rstrip('/')}/media-{uuid.uuid4().hex}"
+    folder = common.scratch(spark, "media")
     archives = store(common.table(spark, sf_dir, "documents"), folder)
     return described(load(spark, archives, folder)).withColumnRenamed("id", "doc_id")

@@ -358,9 +358,7 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not 8 <= gram <= length - 16 or length > 240:
         raise ValueError("needs 8 <= gram <= length - 16 and length <= 240")
     spark = df.sparkSession
-    folder = f"{common.shared_dir(spark).rstrip('/')}/repeats-{uuid.uuid4().hex}"
-    fs, path = pafs.FileSystem.from_uri(folder)
-    fs.create_dir(path)
+    folder = common.scratch(spark, "repeats")
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     opts = {"length": length, "gram": gram}
     src = common.only(df, id=F.col(f"`{id_col}`").cast("long"), text=F.col(f"`{text_col}`").cast("string"))
