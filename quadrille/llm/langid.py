@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from . import common
 
 PER_LANGUAGE, TRAIN_DOCS, TRAIN_CHARS = 600, 6000, 20_000
+#: Languages (a row of three columns each) that are broadcast; more are joined.
+BROADCAST = 50_000
 ORDERS = (4, 3, 2, 1)
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Unseen words whose scores are kept between pieces of text.
@@ -162,8 +164,10 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     # counts combine before the shuffle; the smallest hash of each language is always taken, and a hash threshold
     # leaves about as many rows as are wanted, so no language is ever ranked whole
     sizes = common.cut(some.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")))
-    share = min(per_language, max(1, docs // max(1, sizes.count())))
-    taken = some.join(sizes, "lang").filter((F.col("h") / F.lit(2.0**63) * F.col("n") <= share) | (F.col("h") == F.col("least")))
+    known = sizes.count()
+    share = min(per_language, max(1, docs // max(1, known)))
+    # texts are not dealt out by language: one may have most rows
+    taken = some.join(F.broadcast(sizes) if known <= BROADCAST else sizes, "lang").filter((F.col("h") / F.lit(2.0**63) * F.col("n") <= share) | (F.col("h") == F.col("least")))
     rows = taken.select("lang", "text", "h").distinct().collect()
     return Model([(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["text"]))])
 
