@@ -203,13 +203,21 @@ def _across(link: _Chains, key, chain, first: int) -> np.ndarray:
     return label
 
 
+def _star(label: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links from the smallest id of each component to its other ids."""
+    least = ids.copy()
+    np.minimum.at(least, label, ids)
+    src = least[label]
+    at = src != ids
+    return src[at], ids[at]
+
+
 def _met(batches, link: _Chains, block: int):
     """Links of each bucket, a star a component (kind 0); rows of buckets over ``block`` pass through one by one (kind 1)."""
 
     def links_of(key, chain, ids):
-        label = _inside(link, key, chain)
-        at = np.flatnonzero(label != np.arange(len(label)))
-        return out(0, np.zeros(len(at), np.int64), ids[label[at]], ids[at])
+        src, dst = _star(_inside(link, key, chain), ids)
+        return out(0, np.zeros(len(src), np.int64), src, dst)
 
     def out(kind, key, src, dst):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(src), pa.array(dst)], names=["kind", "key", "src", "dst"])
@@ -246,8 +254,8 @@ def _block_pair(t: pa.Table, link: _Chains) -> pa.Table:
     key, chain, ids = (t[c].to_numpy()[by] for c in ("key", "src", "dst"))
     first = int((side == 0).sum())
     label = _inside(link, key, chain) if first == len(by) else _across(link, key, chain, first)
-    at = np.flatnonzero(label != np.arange(len(label)))
-    return pa.table({"src": ids[label[at]], "dst": ids[at]})
+    src, dst = _star(label, ids)
+    return pa.table({"src": src, "dst": dst})
 
 
 def links(keys: DataFrame, low: int, budget: tuple[int, ...], block: int = BLOCK) -> DataFrame:
@@ -268,7 +276,9 @@ def links(keys: DataFrame, low: int, budget: tuple[int, ...], block: int = BLOCK
         return _block_pair(t, link)
 
     far = paired.groupBy("bucket", "i", "j").applyInArrow(compare, "src long, dst long")
-    return plain.union(far)
+    # a row has at most one link a table (and block): its least one stays, the others join the smallest ids themselves
+    stars = common.cut(plain.union(far).groupBy("dst").agg(F.min("src").alias("src"), F.collect_set("src").alias("all")))
+    return stars.select("src", "dst").union(stars.select("src", F.explode("all").alias("dst")).filter("src <> dst").distinct())
 
 
 def exact_links(classes: DataFrame, tau: int = 3, segments: int = 8, block: int = BLOCK) -> DataFrame:
