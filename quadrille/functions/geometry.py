@@ -60,17 +60,25 @@ def crc_unit(text: Column) -> Column:
     return F.crc32(text) / F.lit(4294967296.0)
 
 
+def _interval(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:
+    """How two closed intervals lie, as bits: 1 the first covers the second, 2 the second covers the first, 4 they meet in a point only, 8 they are apart."""
+    shared = F.least(hi1, hi2) - F.greatest(lo1, lo2)
+    bit = lambda test, value: F.when(test, value).otherwise(0)
+    return bit((lo1 <= lo2) & (hi2 <= hi1), 1).bitwiseOR(bit((lo2 <= lo1) & (hi1 <= hi2), 2)).bitwiseOR(bit(shared == 0, 4)).bitwiseOR(bit(shared < 0, 8))
+
+
 def box_topology(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
-    """Five labels for closed axis-aligned boxes (x1, y1, x2, y2); equal boxes contain each other."""
-    ax1, ay1, ax2, ay2 = a
-    bx1, by1, bx2, by2 = b
-    w = F.least(ax2, bx2) - F.greatest(ax1, bx1)
-    h = F.least(ay2, by2) - F.greatest(ay1, by1)
-    return (
-        F.when((ax1 <= bx1) & (ay1 <= by1) & (ax2 >= bx2) & (ay2 >= by2), "Contains")
-        .when((bx1 <= ax1) & (by1 <= ay1) & (bx2 >= ax2) & (by2 >= ay2), "Within")
-        .when((w < 0) | (h < 0), "Disjoint").when((w == 0) | (h == 0), "Touches").otherwise("Intersects")
-    )
+    """Five labels for closed axis-aligned boxes (x1, y1, x2, y2); equal boxes contain each other.
+
+    Each axis is an interval relation; what holds on both axes holds for the boxes,
+    a gap or a mere touch on either axis is one of the boxes.
+    """
+    x, y = _interval(a[0], a[2], b[0], b[2]), _interval(a[1], a[3], b[1], b[3])
+    both, either = x.bitwiseAND(y), x.bitwiseOR(y)
+    label = F.lit("Intersects")
+    for test, name in ((either.bitwiseAND(4) > 0, "Touches"), (either.bitwiseAND(8) > 0, "Disjoint"), (both.bitwiseAND(2) > 0, "Within"), (both.bitwiseAND(1) > 0, "Contains")):
+        label = F.when(test, name).otherwise(label)
+    return label
 
 
 def boxes_meet(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:

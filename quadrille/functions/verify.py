@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,18 +16,46 @@ def verified(expected: Column, predicted: Column, how: str) -> Column:
     return F.struct(ok.alias("correct"), F.when(ok, 1.0).otherwise(-1.0).alias("score"), expected.alias("expected"), said.alias("predicted"))
 
 
+def _leaves(value, at: tuple = ()) -> dict[tuple, tuple]:
+    """Path -> (sort, value) of every scalar and every empty or closed container of a JSON value."""
+    if isinstance(value, dict):
+        inner = [((*at, key), part) for key, part in value.items()]
+        out = {at: ("object", len(inner))}
+    elif isinstance(value, list):
+        inner = [((*at, n), part) for n, part in enumerate(value)]
+        out = {at: ("list", len(inner))}
+    else:
+        sort = "flag" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "null" if value is None else "text"
+        return {at: (sort, value)}
+    for path, part in inner:
+        out |= _leaves(part, path)
+    return out
+
+
+def _agree(said: str | None, true: str | None, tolerance: float) -> bool:
+    try:
+        a, b = _leaves(json.loads(said)), _leaves(json.loads(true))
+    except (TypeError, ValueError, RecursionError):
+        return False
+    if a.keys() != b.keys():
+        return False
+    for path, (sort, value) in a.items():
+        other_sort, other = b[path]
+        if sort != other_sort or sort == "null":
+            return False
+        if value != other and not (sort == "number" and abs(value - other) <= tolerance):
+            return False
+    return True
+
+
 def answer_matches(predicted: Column, gold: Column, tolerance: float = 1e-3) -> Column:
-    """Flat JSON objects: same keys; numbers within tolerance, other values equal."""
-    schema = "map<string,string>"
-    p, g = F.from_json(predicted, schema), F.from_json(gold, schema)
-    keys = F.array_sort(F.map_keys(p)) == F.array_sort(F.map_keys(g))
+    """JSON values of one shape and one sort a place: numbers within tolerance, flags, texts and list orders equal; a null agrees with nothing."""
 
-    def same(k: Column) -> Column:
-        a, b = F.element_at(p, k), F.element_at(g, k)
-        x, y = a.try_cast("double"), b.try_cast("double")
-        return F.when(x.isNotNull() & y.isNotNull(), F.abs(x - y) <= tolerance).otherwise(a == b)
+    @F.pandas_udf("boolean")
+    def agree(said: pd.Series, true: pd.Series) -> pd.Series:
+        return pd.Series([_agree(a, b, tolerance) for a, b in zip(said, true)])
 
-    return F.coalesce(keys & F.forall(F.map_keys(g), same), F.lit(False))
+    return agree(predicted, gold)
 
 
 def scene_kept(message: Column, scene: Column) -> Column:

@@ -6,6 +6,8 @@ checkpoint, and bring a count to the driver, never rows.
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -122,9 +124,81 @@ def k_best(paths: DataFrame, k: int) -> DataFrame:
     return paths.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def choose_queries(paths: DataFrame, nodes: int = 3) -> DataFrame:
-    """``(src, dst, path, cost, runner_up_path, runner_up_cost)`` of pairs with two paths or more whose best is unique and has ``nodes`` nodes or more."""
-    top = k_best(paths, 2).groupBy("src", "dst").agg(
+def within(edges: DataFrame, hops: int) -> DataFrame:
+    """``(src, dst)`` joined by a directed path of 1 to ``hops`` edges, ends apart: only new pairs are extended."""
+    step = edges.select("src", "dst").distinct()
+    known = new = step
+    for _ in range(hops - 1):
+        longer = new.select("src", F.col("dst").alias("mid")).join(step.toDF("mid", "dst"), "mid").select("src", "dst").distinct()
+        new = cut(longer.join(known, ["src", "dst"], "left_anti"))
+        known = known.union(new)
+    return known.filter("src <> dst")
+
+
+def _to_target(back: dict, target) -> dict:
+    """Least cost from every node that reaches ``target``."""
+    cost, queue = {}, [(0, target)]
+    while queue:
+        c, node = heapq.heappop(queue)
+        if node not in cost:
+            cost[node] = c
+            for other, leg in back.get(node, ()):
+                if other not in cost:
+                    heapq.heappush(queue, (c + leg, other))
+    return cost
+
+
+def _cheapest_simple(near: dict, rest: dict, source, target, k: int) -> list[tuple[int, list]]:
+    """The ``k`` first simple paths by (cost, nodes, path): partial paths open in order of their least possible total, so no more are grown than needed."""
+    found, queue = [], [(rest[source], 0, [source])] if source in rest else []
+    while queue and not (len(found) >= k and queue[0][0] > found[k - 1][0]):
+        _, cost, path = heapq.heappop(queue)
+        if path[-1] == target:
+            found.append((cost, len(path), path))
+            found.sort()
+            continue
+        for node, leg in near.get(path[-1], ()):
+            if node in rest and node not in path:
+                heapq.heappush(queue, (cost + leg + rest[node], cost + leg, [*path, node]))
+    return [(c, p) for c, _, p in found[:k]]
+
+
+#: Edges of a network whose best paths are searched as one scene.
+SCENE_EDGES = 100_000
+
+
+def best_paths(edges: DataFrame, k: int) -> DataFrame:
+    """``(src, dst, rank, path, cost)``: the ``k`` best simple paths of every pair of different nodes, of any length, ranked by cost, then fewer nodes, then the path.
+
+    The network travels to the tasks as one bounded scene (more than ``SCENE_EDGES``
+    edges are refused); the sources are dealt out.  Costs are whole numbers and not negative.
+    """
+    net = cut(edges.filter("src <> dst").groupBy("src", "dst").agg(F.min("cost").alias("cost")))
+    if net.count() > SCENE_EDGES:
+        raise ValueError(f"a network of more than {SCENE_EDGES} edges is no scene; use shortest_costs")
+    kind = net.schema["src"].dataType.simpleString()
+    links = net.agg(F.array_sort(F.collect_list(F.struct("src", "dst", "cost"))).alias("links"))
+    sources = net.select("src").distinct().repartition("src")
+
+    @F.pandas_udf(f"array<struct<dst:{kind},rank:int,path:array<{kind}>,cost:bigint>>")
+    def search(source: pd.Series, scene: pd.Series) -> pd.Series:
+        near, back, out = {}, {}, []
+        for x in scene.iloc[0] if len(scene) else ():
+            near.setdefault(x["src"], []).append((x["dst"], x["cost"]))
+            back.setdefault(x["dst"], []).append((x["src"], x["cost"]))
+        rests = {target: _to_target(back, target) for target in sorted(back)}
+        for src in source:
+            out.append([{"dst": t, "rank": n, "path": path, "cost": cost} for t, rest in rests.items() if t != src for n, (cost, path) in enumerate(_cheapest_simple(near, rest, src, t, k), 1)])
+        return pd.Series(out)
+
+    # one row of a checked size
+    return sources.crossJoin(F.broadcast(links)).select("src", F.inline(search("src", "links"))).select("src", "dst", "rank", "path", "cost")
+
+
+def choose_queries(ranked: DataFrame, nodes: int = 3) -> DataFrame:
+    """``(src, dst, path, cost, runner_up_path, runner_up_cost)`` of pairs with two paths (ranked here unless they are) whose best is unique and has ``nodes`` nodes or more."""
+    ranked = ranked if "rank" in ranked.columns else k_best(ranked, 2)
+    top = ranked.groupBy("src", "dst").agg(
         F.max(F.when(F.col("rank") == 1, F.struct("path", "cost"))).alias("a"), F.max(F.when(F.col("rank") == 2, F.struct("path", "cost"))).alias("b"))
     good = top.filter(F.col("b").isNotNull() & (F.col("a.cost") < F.col("b.cost")) & (F.size("a.path") >= nodes))
     return good.select("src", "dst", "a.path", "a.cost", F.col("b.path").alias("runner_up_path"), F.col("b.cost").alias("runner_up_cost"))

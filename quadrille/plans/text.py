@@ -126,7 +126,7 @@ def three_views(spark, sf):
 def scenes(spark: SparkSession, sf: str) -> DataFrame:
     """One row a path query: nodes, edges and rendered text of its scene."""
     n = net.network(spark, sf)
-    q = graph.choose_queries(graph.simple_paths(n, 4)).withColumn("scene", F.concat_ws("-", "src", "dst"))
+    q = graph.choose_queries(graph.best_paths(n, 2)).withColumn("scene", F.concat_ws("-", "src", "dst"))
     members = q.select("scene", F.explode(F.array_union("path", "runner_up_path")).alias("node"), F.col("src").alias("source"), F.col("dst").alias("target"))
     names = graph.aliases(members)
     edges = graph.induced(n, members.select("scene", "node"))
@@ -137,9 +137,9 @@ def scenes(spark: SparkSession, sf: str) -> DataFrame:
     return q.join(shown, "scene").join(nodes, "scene").withColumn("text", text)
 
 
-ALIASED = net.CHOSEN + """, mem AS (SELECT DISTINCT src || '-' || dst AS scene, src, dst, unnest(list_distinct(list_concat(path, path2))) AS node FROM chosen),
- nam AS (SELECT scene, node, row_number() OVER (PARTITION BY scene ORDER BY (node = src) DESC, (node = dst) DESC, node) AS k FROM mem),
- shown AS (SELECT x.scene, 'n' || x.k AS a, 'n' || y.k AS b, e.cost / 100.0 AS cost_m FROM net e JOIN nam x ON x.node = e.src JOIN nam y ON y.scene = x.scene AND y.node = e.dst)"""
+ALIASED = net.CHOSEN + """, mem AS MATERIALIZED (SELECT DISTINCT src || '-' || dst AS scene, src, dst, unnest(list_distinct(list_concat(path, path2))) AS node FROM chosen),
+ nam AS MATERIALIZED (SELECT scene, node, row_number() OVER (PARTITION BY scene ORDER BY (node = src) DESC, (node = dst) DESC, node) AS k FROM mem),
+ shown AS MATERIALIZED (SELECT x.scene, 'n' || x.k AS a, 'n' || y.k AS b, e.cost / 100.0 AS cost_m FROM net e JOIN nam x ON x.node = e.src JOIN nam y ON y.scene = x.scene AND y.node = e.dst)"""
 
 
 @query("network_messages", f"""WITH RECURSIVE {ALIASED}, el AS (SELECT scene, string_agg(a || ' -> ' || b || ', cost=' || {M.format('cost_m')} || ' m', {NL} ORDER BY a, b) AS el FROM shown GROUP BY scene), nl AS (SELECT scene, string_agg('n' || k, ', ' ORDER BY k) AS nl FROM nam GROUP BY scene)

@@ -58,14 +58,17 @@ def test_rewards_and_answers(spark):
     for text, want in cases.items():
         assert one(spark, X.extract_answer(F.lit(text)))[0] == want
     assert one(spark, X.normalize_answer(F.lit("  North\t East!. ")))[0] == "north east"
+    for a in ("STRASSE", "straße", "ΣΊΣΥΦΟΣ", "ſo ﬁne", "İx", "ŉ", "ÀÉ"):
+        assert one(spark, X.normalize_answer(F.lit(a)))[0] == a.casefold()
 
 
 def test_final_acts(spark):
-    cases = {'Act: {"a":1}': ('{"a":1}', None, True), 'Act: {"a":1}\nmore': ('{"a":1}', "non-whitespace text follows Act JSON", False), "none": (None, "missing Act heading", False), "Act: [1]": (None, "invalid Act JSON", False), 'Act: x\nAct: {"a":2} \n': ('{"a":2}', None, True)}
+    cases = {'Act: {"a":1}': ('{"a":1}', None, True), 'Act: {"a":1}\nmore': ('{"a":1}', "non-whitespace text follows Act JSON", False), "none": (None, "missing Act heading", False), "Act: [1]": (None, "Act JSON must be an object", False), "Act: [1] x": (None, "Act JSON must be an object", False), "Act: 5 x": (None, "Act JSON must be an object", False), 'Act: {"a":': (None, "invalid Act JSON", False), "Act: {a}": (None, "invalid Act JSON", False), 'Act: {"p":{"q":["}"]}} }': ('{"p":{"q":["}"]}}', "non-whitespace text follows Act JSON", False), 'Act: x\nAct: {"a":2} \n': ('{"a":2}', None, True)}
     for text, want in cases.items():
         assert tuple(one(spark, X.final_act(F.lit(text)))[0]) == want
     nested = 'Act: {"path":["a"],"b":{"c":1}}'
     assert tuple(spark.createDataFrame([(nested,)], "t string").select(X.final_act_nested(X.act_remainder(F.col("t"))).alias("f")).first()["f"]) == (nested[5:], None, True)
+    assert one(spark, X.stages_in_order(F.lit("Observe: a\nOrient: b\nDecide: c\n" + nested)))[0] is True
     ordered = 'Observe: a\nOrient: b\nDecide: c\nAct: {"x":1}'
     assert one(spark, X.stages_in_order(F.lit(ordered)), X.stages_in_order(F.lit(ordered + "!")), X.stages_in_order(F.lit("Observe: z\n" + ordered)))[:] == (True, False, False)
     assert one(spark, X.json_action(F.lit('Act: do {"operation":"move"} now')))[0] == '{"operation":"move"}'
@@ -78,10 +81,23 @@ def test_text_guards(spark):
 
 
 def test_answer_matching(spark):
-    for a, b, want in [('{"d":1.0004}', '{"d":1.0}', True), ('{"d":1.01}', '{"d":1.0}', False), ('{"d":"N"}', '{"d":"N"}', True), ('{"d":"N","e":1}', '{"d":"N"}', False), ("x", '{"d":1}', False)]:
+    for a, b, want in [('{"d":1.0004}', '{"d":1.0}', True), ('{"d":1.01}', '{"d":1.0}', False), ('{"d":"N"}', '{"d":"N"}', True), ('{"d":"N","e":1}', '{"d":"N"}', False), ("x", '{"d":1}', False), ('{"d":"3"}', '{"d":3}', False), ('{"d":"true"}', '{"d":true}', False), ('{"d":1}', '{"d":true}', False), ('{"p":["a","b"],"c":2.0004}', '{"c":2,"p":["a","b"]}', True), ('{"p":["b","a"]}', '{"p":["a","b"]}', False), ('{"p":[1,[2.0005]]}', '{"p":[1,[2]]}', True), ('{"p":{"x":1.1}}', '{"p":{"x":1}}', False), ('{"p":[]}', '{"p":{}}', False), ('{"p":null}', '{"p":null}', False)]:
         assert one(spark, V.answer_matches(F.lit(a), F.lit(b)))[0] is want
 
 
+def test_best_paths_have_no_cap(spark):
+    """A cheap detour of many hops is the optimum; all ranks equal a full enumeration."""
+    chain = [(i, i + 1, 1) for i in range(9)] + [(0, 9, 50), (0, 5, 5), (5, 0, 1), (3, 1, 0), (2, 9, 8)]
+    e = spark.createDataFrame(chain, "src int, dst int, cost int")
+    got = {(r["src"], r["dst"], r["rank"]): (r["cost"], list(r["path"])) for r in graph.best_paths(e, 2).collect()}
+    assert got[0, 9, 1] == (9, [0, 5, 6, 7, 8, 9]) and got[0, 9, 2][0] == 9
+    every = {(r["src"], r["dst"], r["rank"]): (r["cost"], list(r["path"])) for r in graph.k_best(graph.simple_paths(e, 9), 2).collect()}
+    assert got == every
+    near = {(r["src"], r["dst"]) for r in graph.within(e, 2).collect()}
+    assert near == {(r["src"], r["dst"]) for r in graph.simple_paths(e, 2).collect()}
+    assert graph.best_paths(e.filter("cost > 99"), 2).count() == 0
+
+
 def test_graph_facts(spark):
     e = spark.createDataFrame([("n1", "n2", 3), ("n2", "n4", 3), ("n1", "n3", 2), ("n3", "n4", 2), ("n4", "n1", 9), ("n1", "n2", 5)], "src string, dst string, cost int")
     cost = {(r["src"], r["dst"]): r["cost"] for r in graph.shortest_costs(e).collect()}
