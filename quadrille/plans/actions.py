@@ -103,12 +103,22 @@ def _task_sql() -> str:
         dr = f"list_sum(list_transform({m}, lambda x: CASE WHEN contains(x, 'N') THEN -1 WHEN contains(x, 'S') THEN 1 ELSE 0 END))"
         dc = f"list_sum(list_transform({m}, lambda x: CASE WHEN contains(x, 'E') THEN 1 WHEN contains(x, 'W') THEN -1 ELSE 0 END))"
         parts.append(f"SELECT {name.format(t=t)}, '{t}', '(' || CAST({d(t, '0', 0, 4)} + {dr} AS BIGINT) || ', ' || CAST({d(t, '1', 0, 4)} + {dc} AS BIGINT) || ')' FROM ids")
+    t = "memory_path"
+    m = f"list_transform(range(1, {d(t, '2', 5, 10)} + 1), lambda i: (['N','S','E','W'])[(('0x' || substr(md5('2026:{t}:' || id || ':' || (i + 10)), 1, 8))::BIGINT % 4 + 1)])"
+    along = lambda plus, less: f"list_sum(list_transform({m}, lambda x: CASE x WHEN '{plus}' THEN 1 WHEN '{less}' THEN -1 ELSE 0 END))"
+    parts.append(f"SELECT {name.format(t=t)}, '{t}', '(' || CAST({d(t, '0', -3, 3)} + {along('E', 'W')} AS BIGINT) || ', ' || CAST({d(t, '1', -3, 3)} + {along('N', 'S')} AS BIGINT) || ')' FROM ids")
+    t = "multi_point_relation"
+    step = lambda k: f"([-2, -1, 1, 2])[{d(t, str(k), 1, 4)}]"
+    place = lambda xs: f"({xs})[{d(t, '0', 1, 4)}]"
+    cx, cy = f"({place([2, -2, 1, -1])} + {step(1)})", f"({place([1, 1, -2, -2])} + {step(2)})"
+    x = f"(CASE WHEN {cx} = 0 AND {cy} = 0 THEN 1 ELSE {cx} END)"
+    parts.append(f"SELECT {name.format(t=t)}, '{t}', CASE WHEN {cy} > 0 THEN 'N' WHEN {cy} < 0 THEN 'S' ELSE '' END || CASE WHEN {x} > 0 THEN 'E' WHEN {x} < 0 THEN 'W' ELSE '' END FROM ids")
     t = "mental_rotation_multiturn"
     parts.append(f"SELECT {name.format(t=t)}, '{t}', (['N','E','S','W'])[len(list_filter({moves.format(t=t)}, lambda x: x IN ('E', 'SE', 'NE'))) % 4 + 1] FROM ids")
     return f"WITH {ids} " + " UNION ALL ".join(parts)
 
 
-CLOSED = ["packing_shapes", "mental_rotation", "double_point_relation", "door_rotation", "shortest_path", "relative_direction", "object_location_distance", "door_rotation_multiturn", "spatial_relation_multiturn", "coordinates_movement_multiturn", "mental_rotation_multiturn"]
+CLOSED = ["packing_shapes", "mental_rotation", "double_point_relation", "door_rotation", "shortest_path", "relative_direction", "object_location_distance", "door_rotation_multiturn", "spatial_relation_multiturn", "coordinates_movement_multiturn", "mental_rotation_multiturn", "memory_path", "multi_point_relation"]
 
 
 @query("synthetic_tasks", _task_sql())

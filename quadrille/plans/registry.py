@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-MODULES = ("points", "roads", "network", "text", "scores", "records", "actions", "shapes", "streams", "checks")
+MODULES = ("points", "roads", "network", "text", "scores", "records", "actions", "shapes", "streams", "checks", "evaluation")
 
 
 def query(name: str, sql: str | None = None):

@@ -47,3 +47,15 @@ def held_out(records: DataFrame, style: str = "ooda") -> DataFrame:
     j = records.filter((F.col("split") == "test") & (F.col("style") == style)).join(twice, "scenario_id")
     checks = [(two_messages(F.col("messages")), "messages"), (task_of(F.col("scenario_id")).isNotNull(), "task"), (~F.col("twice"), "duplicate")]
     return j.withColumn("problems", F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(why)) for ok, why in checks]))).drop("twice")
+
+
+def write_evaluation(scores: DataFrame, path: str, flags: list[str], exact: str = "act_exact", key: str = "scenario_id", overwrite: bool = False, **facts) -> None:
+    """``predictions`` and ``errors`` as JSON lines, ``report`` as one JSON object with the given facts; an existing report is an error unless ``overwrite``."""
+    from ..operators import evaluation
+
+    mode = "overwrite" if overwrite else "errorifexists"
+    about = [F.lit(v).alias(k) for k, v in facts.items()]
+    report = evaluation.report(scores, flags, exact, key).withColumn("rates", F.from_json("rates", ", ".join(f"{f} double" for f in flags)))
+    report.select(F.to_json(F.struct(*about, "records", "errors", "rates", "error_ids")).alias("value")).coalesce(1).write.mode(mode).text(f"{path}/report")
+    scores.write.mode(mode).json(f"{path}/predictions")
+    evaluation.errors(scores, exact).write.mode(mode).json(f"{path}/errors")

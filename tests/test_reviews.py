@@ -42,3 +42,34 @@ def test_shapes_of_inputs(spark):
     r = spark.range(1).select(T.valid_point(F.array(F.lit(1.0), F.lit(2.0))), T.valid_point(F.array(F.lit(1.0))), T.valid_geojson(F.lit('{"type":"Point","coordinates":[1,2]}')), T.valid_geojson(F.lit('{"type":"Point"}')),
                               T.edges_declared(F.array(F.lit("a"), F.lit("b")), F.array(F.array(F.lit("a"), F.lit("b"))), F.lit("a"), F.lit("b")), T.edges_declared(F.array(F.lit("a")), F.array(F.array(F.lit("a"), F.lit("b"))), F.lit("a"), F.lit("a"))).first()
     assert tuple(r) == (True, False, True, False, True, False)
+
+
+def test_evaluation_report_is_written(spark, tmp_path):
+    import json
+
+    import pytest
+
+    from quadrille.sources import reviews as reports
+
+    scores = spark.createDataFrame([("s1", "a", True), ("s2", "a", False), ("s3", "b", None)], "scenario_id string, task string, act_exact boolean")
+    path = f"{tmp_path}/out"
+    reports.write_evaluation(scores, path, ["act_exact"], condition="base")
+    report = json.loads("".join(r["value"] for r in spark.read.text(f"{path}/report").collect()))
+    assert report == {"condition": "base", "records": 3, "errors": 2, "rates": {"act_exact": 0.333333}, "error_ids": ["s2", "s3"]}
+    assert spark.read.json(f"{path}/predictions").count() == 3 and sorted(r["scenario_id"] for r in spark.read.json(f"{path}/errors").collect()) == ["s2", "s3"]
+    with pytest.raises(Exception, match="exists"):
+        reports.write_evaluation(scores, path, ["act_exact"])
+    reports.write_evaluation(scores.limit(0), path, ["act_exact"], overwrite=True)
+
+
+def test_token_ids_of_any_shape(spark):
+    import pytest
+
+    from quadrille.operators import evaluation as E
+
+    df = spark.sql("select named_struct('input_ids', array(1, 2)) a, array(array(1), array(), array(2, 3)) b, array(5) c, map('input_ids', array(7)) d, 'x' e, array(array(array(1))) f, cast(null as array<int>) g")
+    got = df.select(*[E.flat_ids(df, c).alias(c) for c in "abcdg"]).first()
+    assert tuple(got) == ([1, 2], [1, 2, 3], [5], [7], None)
+    for bad in "ef":
+        with pytest.raises(TypeError):
+            E.flat_ids(df, bad)
