@@ -45,7 +45,9 @@ def completions(spark: SparkSession, sf: str) -> DataFrame:
 
 EXTRACT = r"""rtrim(CASE WHEN regexp_extract(completion, '(?im)^\s*act\s*:\s*(?:output\s+)?(.+?)\s*$', 1) <> '' THEN trim(regexp_replace(regexp_extract(completion, '(?im)^\s*act\s*:\s*(?:output\s+)?(.+?)\s*$', 1), '(?i)^the answer is\s+', ''))
  ELSE trim(string_split(regexp_replace(completion, '^\s+|\s+$', '', 'g'), chr(10))[-1]) END, '.')"""
-NORMAL = r"""trim(regexp_replace(lower(regexp_replace({c}, '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g'), ' .,!"''')"""
+# Case folding beyond lower case, for the letters of the tables' languages.
+_FOLDED = r"replace(replace(replace(lower({c}), 'ß', 'ss'), 'ſ', 's'), 'ς', 'σ')"
+NORMAL = r"""trim(regexp_replace(""" + _FOLDED.replace("{c}", r"regexp_replace({c}, '^\s+|\s+$', '', 'g')") + r""", '\s+', ' ', 'g'), ' .,!"''')"""
 REST = r"CASE WHEN len(string_split_regex(completion, '(?im)^Act:\s*')) > 1 THEN string_split_regex(completion, '(?im)^Act:\s*')[-1] END"
 ACTS = f"""{COMPLETIONS}, rests AS (SELECT *, {REST} AS rest FROM completions), objs AS (SELECT *, regexp_extract(rest, '^(\\{{[^{{}}]*\\}})', 1) AS obj FROM rests),
  acts AS (SELECT *, CASE WHEN obj <> '' THEN obj END AS json, coalesce(obj <> '' AND trim(substr(rest, length(obj) + 1), ' ' || chr(10)) = '', false) AS is_final,
