@@ -11,13 +11,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut, shared_dir
 from ..operators.graph import connected
 
-__all__ = ["WORD", "connected", "cut", "keyed_groups", "only", "scratch", "shared_dir", "slices", "table"]
+__all__ = ["WORD", "connected", "cut", "digits", "joined", "keyed_groups", "only", "scratch", "shared_dir", "slices", "table"]
 
 #: Characters that separate words (ASCII white space), as used by every word-based operator here.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -79,3 +79,13 @@ def keyed_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
             held = [batch]
     if held:
         yield pa.Table.from_batches(held)
+
+
+def joined(seed: int, *parts: Column) -> Column:
+    """The seed and the parts as one binary text with bars between them, nulls empty."""
+    return F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]).cast("binary")
+
+
+def digits(key: Column | str, at: int) -> Column:
+    """15 hexadecimal digits of ``key`` as a number; other engines can do the same with md5."""
+    return F.conv(F.substring(key, at, 15), 16, 10).cast("long")

@@ -32,10 +32,11 @@ from . import common
 WEIGHTS = (5, 2, 1)
 SHARD_WORDS, SHARD_ROWS = 1 << 20, 1 << 11
 MAX_SOURCES = 1_000_000
+CAP, BLOCK, SEED = 3.0, 16, 9
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def targets(sizes: list[int], weights: list[float], cap: float = 3.0) -> list[float]:
+def targets(sizes: list[int], weights: list[float], cap: float = CAP) -> list[float]:
     """Shares of all words by weight, stopped at ``cap`` times the size, the excess reshared until none is above."""
     out, left, open_ = [0.0] * len(sizes), float(sum(sizes)), set(range(len(sizes)))
     while open_:
@@ -106,23 +107,23 @@ def _planned(rows: DataFrame, weights, cap: float, block: int) -> DataFrame:
 
 def _sized(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
     text, own = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`").cast("long")
-    return df.withColumns({"_id": own, "_source": F.col(f"`{source_col}`").cast("string"), "_size": F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long"), "_h": F.xxhash64(F.lit(seed), own, F.xxhash64(text))})
+    return df.withColumns({"_id": own, "_source": F.col(f"`{source_col}`").cast("string"), "_size": F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long"), "_key": F.md5(common.joined(seed, own, text))})
 
 
 def _taken(rows: DataFrame, weights, cap: float, block: int, seed: int) -> DataFrame:
     """Adds source_size, target, and the arc: turns (whole copies) and the rest's two possible word ranges."""
     plan = _planned(rows, weights, cap, block)
-    dealt = rows.join(plan, rows["_source"].eqNullSafe(plan["source"])).drop(plan["source"]).withColumn("shard", F.pmod("_h", F.col("shards")).cast("int"))
+    dealt = rows.join(plan, rows["_source"].eqNullSafe(plan["source"])).drop(plan["source"]).withColumn("shard", F.pmod(common.digits("_key", 1), F.col("shards")).cast("int"))
     sums = dealt.groupBy("sid", "shard").agg(F.sum("_size").alias("shard_size"), F.first("seats").alias("seats"))
 
     def quotas(t: pa.Table) -> pa.Table:
         return _quotas(t, block, cap)
 
     quota = sums.groupBy("sid").applyInArrow(quotas, "sid int, shard int, shard_size long, quota long")
-    w = Window.partitionBy("sid", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "_h"), "_id", "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("sid", "shard").orderBy(common.digits("_key", 16), "_id", "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = dealt.withColumn("_from", F.sum("_size").over(w) - F.col("_size")).join(quota, ["sid", "shard"])
     ring = F.greatest(F.col("shard_size"), F.lit(1))
-    out = out.withColumns({"_turns": F.floor(F.col("quota") / ring), "_rest": F.pmod("quota", ring), "_arc": F.pmod(F.xxhash64(F.lit(seed + 2), "sid", "shard"), ring)})
+    out = out.withColumns({"_turns": F.floor(F.col("quota") / ring), "_rest": F.pmod("quota", ring), "_arc": F.pmod(common.digits(F.md5(common.joined(seed, F.col("sid"), F.col("shard"))), 1), ring)})
 
     def overlap(a: Column, z: Column) -> tuple[Column, Column]:
         """The part of words [a, z) of the ring inside this document, in its own positions."""
@@ -136,13 +137,13 @@ def _taken(rows: DataFrame, weights, cap: float, block: int, seed: int) -> DataF
     return out.withColumns({"_lo1": lo1, "_n1": n1, "_lo2": lo2, "_n2": n2}).withColumn("taken", (F.col("_turns") * F.col("_size") + F.col("_n1") + F.col("_n2")).cast("long"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: float = 3.0, block: int = 16, seed: int = 9) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: float = CAP, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """``(id, size, source_size, target, taken)`` for every row."""
-    rows = common.cut(_sized(df, id_col, text_col, source_col, seed).select("_id", "_source", "_size", "_h"))
+    rows = common.cut(_sized(df, id_col, text_col, source_col, seed).select("_id", "_source", "_size", "_key"))
     return _taken(rows, weights, cap, block, seed).select(F.col("_id").alias("id"), F.col("_size").alias("size"), "source_size", "target", "taken")
 
 
-def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: float = 3.0, block: int = 16, seed: int = 9) -> DataFrame:
+def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: float = CAP, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """The mixture as rows of ``df``: the text is what the mix takes (copies on lines of their own); rows of which it takes nothing go."""
     got = _taken(_sized(df, id_col, text_col, source_col, seed), weights, cap, block, seed).filter("taken > 0")
     text = F.col(f"`{text_col}`").cast("string")

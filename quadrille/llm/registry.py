@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, media, mixing, nearest, packing, pii, repeats, secrets, simhash, tokens
+from . import langid, media, mixing, nearest, oracles, packing, pii, repeats, secrets, simhash, tokens
 
 
 def queries():
@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return dict(oracles.SQL)

@@ -36,7 +36,7 @@ RULES = [
     Rule("key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 ]
 BASE = ("assign", "access", "hex")
-_LEAST = {"access": 18, "hex": 16, "git": 40, "jwt": 40, "chat": 15, "key": 0}
+LEAST = {"access": 18, "hex": 16, "git": 40, "jwt": 40, "chat": 15, "key": 0}
 _VALUE = re.compile(_ASSIGN.encode(), re.IGNORECASE)
 
 
@@ -54,7 +54,7 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
         if kind == "assign":
             if len(_VALUE.fullmatch(data, a, b)[2]) < 12:
                 continue
-        elif b - a < _LEAST[kind]:
+        elif b - a < LEAST[kind]:
             continue
         out.append((a, rule, b))
     out.sort()
