@@ -107,20 +107,21 @@ def _planned(rows: DataFrame, weights, cap: float, block: int) -> DataFrame:
 
 def _sized(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
     text, own = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`").cast("long")
-    return df.withColumns({"_id": own, "_source": F.col(f"`{source_col}`").cast("string"), "_size": F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long"), "_key": F.md5(common.joined(seed, own, text))})
+    key = F.md5(common.joined(seed, own, text))
+    return df.withColumns({"_id": own, "_source": F.col(f"`{source_col}`").cast("string"), "_size": F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long"), "_h": common.digits(key, 1), "_o": common.digits(key, 16)})
 
 
 def _taken(rows: DataFrame, weights, cap: float, block: int, seed: int) -> DataFrame:
     """Adds source_size, target, and the arc: turns (whole copies) and the rest's two possible word ranges."""
     plan = _planned(rows, weights, cap, block)
-    dealt = rows.join(plan, rows["_source"].eqNullSafe(plan["source"])).drop(plan["source"]).withColumn("shard", F.pmod(common.digits("_key", 1), F.col("shards")).cast("int"))
+    dealt = rows.join(plan, rows["_source"].eqNullSafe(plan["source"])).drop(plan["source"]).withColumn("shard", F.pmod("_h", F.col("shards")).cast("int"))
     sums = dealt.groupBy("sid", "shard").agg(F.sum("_size").alias("shard_size"), F.first("seats").alias("seats"))
 
     def quotas(t: pa.Table) -> pa.Table:
         return _quotas(t, block, cap)
 
     quota = sums.groupBy("sid").applyInArrow(quotas, "sid int, shard int, shard_size long, quota long")
-    w = Window.partitionBy("sid", "shard").orderBy(common.digits("_key", 16), "_id", "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("sid", "shard").orderBy("_o", "_id", "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = dealt.withColumn("_from", F.sum("_size").over(w) - F.col("_size")).join(quota, ["sid", "shard"])
     ring = F.greatest(F.col("shard_size"), F.lit(1))
     out = out.withColumns({"_turns": F.floor(F.col("quota") / ring), "_rest": F.pmod("quota", ring), "_arc": F.pmod(common.digits(F.md5(common.joined(seed, F.col("sid"), F.col("shard"))), 1), ring)})
@@ -139,7 +140,7 @@ def _taken(rows: DataFrame, weights, cap: float, block: int, seed: int) -> DataF
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: float = CAP, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """``(id, size, source_size, target, taken)`` for every row."""
-    rows = common.cut(_sized(df, id_col, text_col, source_col, seed).select("_id", "_source", "_size", "_key"))
+    rows = common.cut(_sized(df, id_col, text_col, source_col, seed).select("_id", "_source", "_size", "_h", "_o"))
     return _taken(rows, weights, cap, block, seed).select(F.col("_id").alias("id"), F.col("_size").alias("size"), "source_size", "target", "taken")
 
 
