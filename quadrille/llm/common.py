@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from ..checkpoints import cut, shared_dir
 from ..operators.graph import connected
 
-__all__ = ["WORD", "connected", "cut", "digits", "joined", "keyed_groups", "only", "scratch", "shared_dir", "slices", "table"]
+__all__ = ["WORD", "connected", "cut", "digits", "joined", "keyed_groups", "only", "released", "scratch", "shared_dir", "slices", "table"]
 
 #: Characters that separate words (ASCII white space), as used by every word-based operator here.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -89,3 +90,12 @@ def joined(seed: int, *parts: Column) -> Column:
 def digits(key: Column | str, at: int) -> Column:
     """15 hexadecimal digits of ``key`` as a number; other engines can do the same with md5."""
     return F.conv(F.substring(key, at, 15), 16, 10).cast("long")
+
+
+def released(batches, step):
+    """``step(batches)``; what it held goes back to the system, as an idle Python worker would keep it through later stages."""
+    yield from step(batches)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

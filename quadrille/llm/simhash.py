@@ -262,7 +262,7 @@ def links(keys: DataFrame, low: int, budget: tuple[int, ...], block: int = BLOCK
     """Links ``(src, dst)`` between key rows, as stars a component and bucket: they join what the pairs within budget join."""
     link = _Chains(low, budget)
     bucket = F.shiftright("key", low)
-    found = common.cut(keys.repartition(bucket).sortWithinPartitions("key").mapInArrow(partial(_met, link=link, block=block), "kind int, key long, src long, dst long"))
+    found = common.cut(keys.repartition(bucket).sortWithinPartitions("key").mapInArrow(partial(common.released, step=partial(_met, link=link, block=block)), "kind int, key long, src long, dst long"))
     plain = found.filter("kind = 0").select("src", "dst")
     # of a hot bucket src is the chain, dst the id
     hot = found.filter("kind = 1").select(bucket.alias("bucket"), "key", "src", "dst")
@@ -406,7 +406,7 @@ def _exact_links(src: DataFrame, named: DataFrame, edges: DataFrame, width: int,
     ends = ends.drop("size").join(large, "c", "left")
     held = src.join(ends, ["id", "t"]).dropDuplicates(["id"]).withColumn("n", F.coalesce("n", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
     dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(F.xxhash64("c", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "id", "text")
-    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(partial(_compared, width=width, least=least), "src long, dst long")
+    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(partial(common.released, step=partial(_compared, width=width, least=least)), "src long, dst long")
 
 
 def _rings(batches, width: int):
@@ -428,10 +428,10 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = F.col(f"`{text_col}`").cast("string")
     src = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(b"")).alias("t"), text.alias("text"))
-    rings = src.mapInArrow(partial(_rings, width=width), "id long, t binary, n long, fp binary")
+    rings = src.mapInArrow(partial(common.released, step=partial(_rings, width=width)), "id long, t binary, n long, fp binary")
     rows = common.cut(rings.groupBy("t").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp")))
     named = rows.filter("rep is not null")
-    edges = common.cut(links(named.select("rep", "fp").mapInArrow(_ring_keys, _KEYS), 32, _BUDGET).distinct())
+    edges = common.cut(links(named.select("rep", "fp").mapInArrow(partial(common.released, step=_ring_keys), _KEYS), 32, _BUDGET).distinct())
     comp = common.connected(_exact_links(src, named, edges, width, least, block))
     return rows.select("rep", "t").join(comp, F.col("rep") == F.col("node"), "left").select("rep", "t", F.coalesce("component", "rep").alias("component"))
 
