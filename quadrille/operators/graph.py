@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from ..checkpoints import cut
 from .sampling import head_per_group
 
+#: Parts into which the edges of one node are dealt in a round of ``connected``.
+SALTS = 256
+
 
 def collapse_parallel(edges: DataFrame, order: list[str]) -> DataFrame:
     """The cheapest of parallel edges, the first in ``order`` among equals, with the other columns of that edge."""
@@ -36,20 +39,25 @@ def connected(edges: DataFrame) -> DataFrame:
     """Components of undirected ``(src, dst)`` long edges: ``(node, component)``, component the smallest id reachable.
 
     Alternating large-star and small-star rounds (edges only shrink towards the
-    smallest neighbour, O(log n) rounds), each cut by a checkpoint.  Only a
-    count and a checksum per round reach the driver.
+    smallest neighbour, O(log n) rounds), each cut by a checkpoint.  The edges of a
+    node are dealt out by ``SALTS`` hashes of their other ends, so a hub that a third
+    of all edges meet is no single task.  Only a count and a checksum per round reach
+    the driver.
     """
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:
             both = e.union(e.select(F.col("dst"), F.col("src"))).toDF("u", "v")
         else:
             both = e.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        out = both.join(least, "u")
+        # dealt out once, for the minima of the parts and for the join; at most SALTS rows a node meet by node
+        both = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("short")).repartition("u", "salt")
+        parts = both.groupBy("u", "salt").agg(F.min("v").alias("m"))
+        least = parts.withColumn("m", F.least(F.min("m").over(Window.partitionBy("u")), "u"))
+        out = both.join(least, ["u", "salt"])
         if large:
-            out = out.filter("v > u").select(F.col("v").alias("src"), F.col("m").alias("dst"))
-        else:
-            out = out.select(F.col("v").alias("src"), F.col("m").alias("dst")).union(least.select("u", "m"))
+            # one row an edge, as before; the small star makes them distinct
+            return out.filter("v > u").select(F.col("v").alias("src"), F.col("m").alias("dst")).filter("src <> dst")
+        out = out.select(F.col("v").alias("src"), F.col("m").alias("dst")).union(least.select("u", "m").distinct())
         return out.filter("src <> dst").distinct()
 
     e = cut(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).filter("src <> dst").distinct())
