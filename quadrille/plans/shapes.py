@@ -79,10 +79,11 @@ def polygon_anchors(spark, sf):
 @query("line_lengths", """WITH s AS (SELECT l_orderkey AS id, CAST(l_quantity AS DOUBLE) AS x, CAST(l_partkey AS DOUBLE) AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS n FROM lineitem), d AS (SELECT id, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS leg FROM s WINDOW w AS (PARTITION BY id ORDER BY n))
  SELECT id, CAST(count(*) AS BIGINT) AS vertices, CAST(round(coalesce(sum(leg), 0) * 1000) AS BIGINT) AS millimetres FROM d GROUP BY id""")
 def line_lengths(spark, sf):
-    p = F.struct("l_linenumber", "l_partkey", F.col("l_quantity").cast("double").alias("x"))
-    rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(p)).alias("s"))
-    pts = F.transform("s", lambda q: F.struct(q["x"].alias("x"), q["l_partkey"].cast("double").alias("y")))
-    return rows.select("id", G.vertex_count(F.array(pts)).cast("long").alias("vertices"), F.round(G.line_length(pts, 9) * 1000).cast("long").alias("millimetres"))
+    """Vertices in the order of their numbers, unknown values last; the length is rounded once."""
+    order = [c for n in ("l_linenumber", "l_partkey", "l_quantity") for c in (F.col(n).isNull().alias(f"no_{n}"), F.col(n))]
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("s"))
+    pts = F.transform("s", lambda q: F.struct(q["l_quantity"].cast("double").alias("x"), q["l_partkey"].cast("double").alias("y")))
+    return rows.select("id", G.vertex_count(F.array(pts)).cast("long").alias("vertices"), F.round(G.line_length(pts, None) * 1000).cast("long").alias("millimetres"))
 
 
 @query("nearby_polygons", f"""WITH {BOXES}, m AS (SELECT a.id AS l_id, b.id AS r_id, a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2 FROM boxes a JOIN boxes b ON a.x1 <= b.x2 AND b.x1 <= a.x2 AND a.y1 <= b.y2 AND b.y1 <= a.y2 WHERE a.id < b.id) SELECT l_id, r_id, {FIVE} AS relation FROM m""")
