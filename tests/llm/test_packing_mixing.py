@@ -50,6 +50,49 @@ def test_given_lengths_and_shared_cells(spark):
     assert sum(r["padding"] for r in exact) <= sum(r["padding"] for r in shared) <= 1.3 * sum(r["padding"] for r in exact)
 
 
+def plain_boundaries(lengths, count, buckets):
+    """Whole numbers, one length at a time; of equal costs the earliest start of a bucket."""
+    c, total = [0], [0]
+    for length, k in zip(lengths, count):
+        c.append(c[-1] + k)
+        total.append(total[-1] + length * k)
+    n = len(lengths)
+    best, layers = [0] + [lengths[j] * c[j + 1] - total[j + 1] for j in range(n)], []
+    for _ in range(min(buckets, n) - 1):
+        pairs = [min((best[i] + lengths[j] * (c[j + 1] - c[i]) - (total[j + 1] - total[i]), i) for i in range(j + 1)) for j in range(n)]
+        best = [0] + [cost for cost, _ in pairs]
+        layers.append([i for _, i in pairs])
+    tops, end = [lengths[-1]], layers[-1][-1] - 1 if layers else -1
+    for layer in [*reversed(layers[:-1]), None]:
+        if end < 0:
+            break
+        tops.append(lengths[end])
+        end = layer[end] - 1 if layer else -1
+    return tops[::-1]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_boundaries_do_not_depend_on_pieces(seed):
+    """Ties, lengths beyond 2^53 and any number of lengths searched at once."""
+    rng = random.Random(seed)
+    scale = rng.choice([1, 1, 10**15, 10**17])
+    lengths = sorted({scale * rng.randint(0, rng.choice([60, 300])) for _ in range(rng.randint(1, 60))})
+    count = [rng.choice([1, 1, 2, 10 ** rng.randint(0, 8)]) for _ in lengths]
+    want = plain_boundaries(lengths, count, 6)
+    for cells in (1, 3, 17, packing.CELLS):
+        assert packing.boundaries(lengths, count, None, 6, cells) == want
+
+
+def test_batches_do_not_depend_on_the_number_of_lengths(spark):
+    df = spark.createDataFrame([(i, f"t{i}", i * i % 7919) for i in range(400)], "doc_id long, text string, size long")
+    whole = packing.packed(df, buckets=5, length_col="size").collect()
+    lengths = sorted({r["n_tokens"] for r in whole})
+    assert len(lengths) > 300
+    assert sorted({r["padded_to"] for r in whole}) == plain_boundaries(lengths, [sum(r["n_tokens"] == n for r in whole) for n in lengths], 5)
+    for cells in (1, 40):
+        assert sorted(packing.packed(df, buckets=5, length_col="size", cells=cells).collect()) == sorted(whole)
+
+
 def test_batches_hold_the_budget(docs, odd):
     rows = [*odd, *((100 + i, "w " * (i % 37), "en", "s") for i in range(200))]
     out = packing.packed(docs(rows).drop("bucket"), buckets=4, budget=100).collect()
